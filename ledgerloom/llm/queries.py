@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, sharding
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, sharding
 from ledgerloom.llm.common import settle, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = settle(maxscore.quantised(table(spark, sf_dir, "embeddings")))
     return maxscore.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
@@ -45,12 +49,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_maxscore, op5_chat_trees, op6_byte_bpe, op8_histogram_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op4_maxscore, op5_chat_trees, op6_byte_bpe, op8_histogram_sharding, op10_decontamination)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE_SQL = {
+    "op1_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT w.doc_id, count(s.sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+ r(id, comp) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.id),
+ c AS (SELECT id, min(comp) AS comp FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, c.comp AS component_id, n.doc_id = c.comp AS kept FROM n JOIN c ON c.id = n.doc_id
+""",
     "op4_maxscore": """
 WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
