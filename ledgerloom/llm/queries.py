@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, sharding, toxicity
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, quality_lm, sharding, toxicity
 from ledgerloom.llm.common import settle, table
 
 
@@ -13,6 +13,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_lm.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
@@ -57,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op8_histogram_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op8_histogram_sharding, op10_decontamination)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
