@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, quality_lm, sharding, toxicity
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, pii, quality_lm, secrets, sharding, toxicity
 from ledgerloom.llm.common import settle, table
 
+#: Key of the queries' pseudonyms; a deployment sets its own.
+PII_KEY = "ledgerloom"
+
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,17 +55,28 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.example_findings(spark))
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), model)
+    return out.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
+
+
 def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", "pii", F.size("pii").cast("long").alias("n_changed"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op8_histogram_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
