@@ -57,7 +57,8 @@ def occurrences(docs: DataFrame, wins: DataFrame, shingle: int = 3) -> DataFrame
     prefix = small_side(settle(prefix.where("r = 1 AND docs > 0").select("win", "len", "offset", "token")))
     near = met.join(prefix, "token").withColumn("start", F.col("pos") - F.col("offset"))
     near = settle(near.where("start >= 0 AND start + len <= n").select("doc_id", "h", "win", "len", "start").distinct())
-    texts = docs.join(near.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    here = small_side(settle(near.select("doc_id", "h").distinct()))
+    texts = docs.join(here, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
     texts = texts.select("doc_id", "h", words(ascii_lower(F.col("text"))).alias("w"))
     placed = near.join(small_side(settle(wins.select("win", "window"))), "win")
     return texts.join(placed, ["doc_id", "h"]).where("slice(w, start + 1, len) = window").select("doc_id", "h", "win", "start", "len")
