@@ -45,14 +45,23 @@ def op5_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(whole, "conv").select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranks_file() -> bytes:
     import public_tokenizers as P
 
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = f.read()
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, P.PATTERN)
-    out = byte_bpe.decode(ids, ranks)
-    return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        return f.read()
+
+
+def bpe_digests(docs: DataFrame, ranks: bytes, keep_ids: bool = False) -> DataFrame:
+    import public_tokenizers as P
+
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks, P.PATTERN), ranks)
+    digests = [(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return out.select("doc_id", *digests, *(["token_ids"] if keep_ids else []))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks_file())
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
