@@ -6,9 +6,10 @@ maximum. Equal sets are joined first. Bands of register values give candidates,
 of the similarity from both sketches and the exact set sizes drops the hopeless ones, and the rest is verified on
 full sets.
 
-Within a bucket not all pairs are listed: members are first compared with two hubs. Only members that are then still
-in different components are compared with each other, so a group of near copies costs about its size, and no pair
-that shares a bucket is left undecided.
+Within a bucket not all pairs are listed: members are first compared with two hubs. Documents of buckets that are then
+still in several components go through an exact prefix join: shingles are ordered by rarity, linked sets must share one
+early enough in both, and such shingles' documents are again compared with a hub first and only across components then.
+So a group of near copies costs about its size, and no pair that shares a bucket is left undecided.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import settle, small_side, text_batches
@@ -162,6 +163,20 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def _early_shingles(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """token, id, n, pos: of each document of ``ids`` the shared shingles that stand early enough to link it.
+
+    Shingles are ordered by the number of these documents that have them; pos counts from 1. Those of one document
+    alone come first and need no rows. A linked set shares one of its first n - ceil(percent * n / 100) + 1.
+    """
+    sets = docs.join(small_side(ids), "id", "left_semi").distinct().mapInArrow(_full_sets, "id long, full array<bigint>")
+    rows = settle(sets.select("id", F.xxhash64("full").alias("h"), F.size("full").cast("long").alias("n"), F.explode("full").alias("token")))
+    held = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id", "h", "n")
+    rows = rows.join(held, "token").withColumn("pos", F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count("*").over(own))
+    return rows.where(f"100 * (n - pos + 1) >= {percent} * n").select("token", "id", "n", "pos")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document.
 
@@ -202,13 +217,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = settle(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     edges = linked(star)
     labels = components(edges)
-    named = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    named = settle(named)
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = settle(named.join(mixed, "key", "left_semi"))
-    one, other = (open_.select("key", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("comp").alias("c" + x)) for x in "ab")
-    cross = one.join(other, "key").where(f"ca < cb AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = linked(settle(cross.join(star, ["a", "b"], "left_anti")))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+    mixed = settle(named(shared.select("key", "id")))
+    several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = settle(mixed.join(several, "key", "left_semi").select("id").distinct())
+    early = settle(_early_shingles(docs, open_, percent))
+    hub = named(early).groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp"), F.struct("pos", "id")).alias("h")).select("token", *[F.col(f"h.{c}").alias(c + "_h") for c in ("id", "n", "pos", "comp")])
+    bound = f"100 * least(n, n_h) >= {percent} * greatest(n, n_h) AND {100 + percent} * (least(n - pos, n_h - pos_h) + 1) >= {percent} * (n + n_h)"
+    pair = F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")
+    more = linked(settle(named(early).join(hub, "token").where(f"comp <> comp_h AND {bound}").select(*pair).distinct()))
+    if more.head(1):
+        edges = settle(edges.unionByName(more))
+        labels = components(edges)
+    here = settle(named(early))
+    several = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    here = settle(here.join(several, "token", "left_semi"))
+    there = here.select("token", *[F.col(c).alias(c + "_h") for c in ("id", "n", "pos", "comp")])
+    more = linked(settle(here.join(there, "token").where(f"comp < comp_h AND {bound}").select(*pair).distinct()))
     if more.head(1):
         labels = components(edges.unionByName(more))
     of = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("comp", "rep").alias("comp"))
