@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settle
+from ledgerloom.llm.common import BROADCAST_ROWS, settle
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -42,27 +42,30 @@ def reply_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     sum along it; ties go to the smaller leaf. A node whose parent doesn't exist is a root. Nodes on a cycle of
     parents have no leaf and are left out.
     """
-    up = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
-    known = up.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    up = settle(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
+    rows = up.count()
+    near = F.broadcast if rows <= BROADCAST_ROWS else lambda side: side  # larger forests are joined by a shuffle
+    known = near(up.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")))
     up = up.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("far"), "score", F.lit(1).cast("long").alias("length"))
-    jumps = []  # jumps[k]: far is the ancestor at distance 2^k; score, length: of the nodes from node up to before far
-    left, rows = None, up.count()
-    while left != 0 and 2 ** len(jumps) <= 2 * max(rows, 1):
-        up = settle(up)
-        jumps.append(up)
-        left = up.where("far IS NOT NULL").count()
-        over = up.select("tree", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("score").alias("score2"), F.col("length").alias("length2"))
-        up = up.join(over, ["tree", "far"], "left").select("tree", "node", F.col("far2").alias("far"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"))
-    total = jumps[-1].where("far IS NULL")  # what still has an ancestor is on a cycle
-    parents = jumps[0].where("far IS NOT NULL").select("tree", F.col("far").alias("node")).distinct()
+    up = settle(up)
+    open_, total = up.where("far IS NOT NULL"), up.where("far IS NULL")
+    # jumps[k]: far is the ancestor at distance 2^k. Rows carry score and length of the path from node up to before far;
+    # those that have reached the root wait in total, so a round joins only the nodes that are deeper than 2^k.
+    jumps = []
+    while open_.head(1) and 2 ** len(jumps) <= 2 * rows:  # beyond that only cycles are left
+        jumps.append(open_.select("tree", "node", "far"))
+        over = open_.unionByName(total).select("tree", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("score").alias("score2"), F.col("length").alias("length2"))
+        step = open_.join(near(over), ["tree", "far"]).select("tree", "node", F.col("far2").alias("far"), (F.col("score") + F.col("score2")).alias("score"), (F.col("length") + F.col("length2")).alias("length"))
+        step = settle(step)
+        open_, total = step.where("far IS NOT NULL"), total.unionByName(step.where("far IS NULL"))
+    parents = up.where("far IS NOT NULL").select("tree", F.col("far").alias("node")).distinct()
     ranked = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    leaves = total.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", "length").withColumn("path_rank", F.row_number().over(ranked))
+    leaves = total.join(near(parents), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score", "length").withColumn("path_rank", F.row_number().over(ranked))
     if best is not None:
         leaves = leaves.where(F.col("path_rank") <= best)
     on = settle(leaves.select("tree", "leaf", "path_rank", F.col("leaf").alias("node"), (F.col("length") - 1).alias("depth")))
-    for k, jump in reversed(list(enumerate(jumps[:-1]))):
-        step = jump.where("far IS NOT NULL").select("tree", "node", "far")
-        over = on.join(step, ["tree", "node"]).select("tree", "leaf", "path_rank", F.col("far").alias("node"), (F.col("depth") - 2**k).alias("depth"))
+    for k, jump in reversed(list(enumerate(jumps))):
+        over = on.join(near(jump), ["tree", "node"]).select("tree", "leaf", "path_rank", F.col("far").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         on = settle(on.unionByName(over))
     return on
 
