@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are positives; all other texts are unlabelled, since nobody has looked through them. A linear
+Confirmed toxic texts are positives; texts drawn from all documents are unlabelled, whatever is known of them. A linear
 classifier is trained in numpy on the risk estimate prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)):
 where the second term turns negative, the step goes the other way, so that it can't be driven below zero.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,18 +25,23 @@ from ledgerloom.llm.common import settle, text_batches
 BUCKETS = 1 << 20
 #: Largest number of positive and of unlabelled texts that a model is fitted on.
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: Likelihood ratio that a feature must reach to count as more frequent in positives; about one in 10^6 by chance.
-SURPRISE = 24.0
+#: Likelihood ratio that a feature must reach to count as more frequent in positives; about one in 10^4 by chance.
+SURPRISE = 17.0
 #: Length of the word beginnings that are features beside the words.
 STEM = 5
+#: Numbers of different words of one beginning that are features, too.
+SEVERAL = (2, 4)
 
 _words = re.compile(r"[^\W\d_]+").findall
 
 
 def features(text: str | None) -> np.ndarray:
-    """Distinct hashed features of a whole text: its words and their beginnings."""
+    """Distinct hashed features of a whole text: its words, their beginnings, and beginnings of several of its words."""
     found = set(_words(text.lower())) if text else set()
-    found |= {w[:STEM] + "*" for w in found if len(w) > STEM}
+    stems = Counter(w[:STEM] for w in found if len(w) > STEM)
+    found.update([s + "*" for s in stems])
+    for least in SEVERAL:
+        found.update([f"{s}*{least}" for s, n in stems.items() if n >= least])
     return np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in found), np.uint32, len(found)) & np.uint32(BUCKETS - 1)).astype(np.int32)
 
 
@@ -114,9 +120,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
-    """Fit on at most POSITIVES confirmed toxic texts and UNLABELLED others of ``docs``, taken in the order of a hash.
+    """Fit on at most POSITIVES confirmed toxic texts and UNLABELLED of all ``docs``, taken in the order of a hash.
 
-    ``labels``: doc_id, toxic (1: confirmed; everything else is unlabelled). The class prior is the share of toxic
+    ``labels``: doc_id, toxic (1: confirmed). The class prior is the share of toxic
     rows among ``labels`` with a value. Repeated or contradicting labels of a document count as toxic if any is.
     """
     text_batches(docs.sparkSession)
@@ -124,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct().join(marks, "id", "left").select("id", (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
     order = F.xxhash64("id", F.lit(7)), "id"
-    picked = ids.where("toxic").orderBy(*order).limit(POSITIVES).unionByName(ids.where("NOT toxic").orderBy(*order).limit(UNLABELLED))
+    # unlabelled texts are drawn from all documents, so that they hold toxic ones at the class prior
+    picked = ids.where("toxic").orderBy(*order).limit(POSITIVES).unionByName(ids.orderBy(*order).limit(UNLABELLED).withColumn("toxic", F.lit(False)))
     picked = F.broadcast(settle(picked))  # at most POSITIVES + UNLABELLED rows
     found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id").select("toxic", "text").mapInArrow(_featured, "toxic boolean, found binary").collect()
     side = lambda t: [np.frombuffer(r.found, np.int32) for r in found if r.toxic == t]
