@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontam, near_dedup, pii, quality_lm
-from ledgerloom.llm.common import settle, table
+from ledgerloom.llm.common import settle, small_side, table
 from ledgerloom.llm.queries import PII_KEY, bpe_digests, ranks_file
 
 
@@ -22,14 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of the smallest doc_id."""
     groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    lost = settle(groups.where("NOT kept").select("doc_id").distinct())
+    lost = small_side(settle(groups.where("NOT kept").select("doc_id").distinct()))
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     hit = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return docs.join(settle(hit.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small_side(settle(hit.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
