@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import text_batches
 
 #: Entries a worker keeps of pieces and of token pairs that it has met.
-PIECES, PAIRS = 300_000, 1_000_000
+PIECES, PAIRS = 150_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:

@@ -42,10 +42,10 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch of whole texts holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ascii_lower(col):
