@@ -10,6 +10,8 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from struct import pack
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -18,8 +20,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import text_batches
 
-#: Entries a worker keeps of pieces and of token pairs that it has met.
-PIECES, PAIRS = 150_000, 250_000
+#: Entries of pieces (in each of two generations) and of token pairs that a worker keeps of what it has met.
+PIECES, PAIRS = 200_000, 400_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -97,13 +99,13 @@ class PrefixEncoder:
         """
         if not last:
             last.append(-1)
-        agree, joins, span = 0, self.joins, self.span
+        agree, joins, span, endings = 0, self.joins, self.span, self.endings
         for end in range(len(last), len(piece) + 1):
-            node, i, found = self.endings, end, []
+            node, i, found = endings, end, []
             while i > 0 and (node := node.get(piece[i - 1])) is not None:
                 i -= 1
-                if -1 in node:
-                    found.append((i, node[-1]))
+                if (token := node.get(-1)) is not None:
+                    found.append((i, token))
             for i, token in reversed(found):
                 if not i:
                     ok = self.may_start(token)
@@ -165,20 +167,39 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class _Pieces(dict):
-    """From a piece of text to its ids as little-endian unsigned 32-bit integers."""
+    """From a piece of text to its ids as little-endian unsigned 32-bit integers.
+
+    When the young generation is full it becomes the old one; pieces met again move back, so frequent ones stay.
+    """
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= PIECES:
-            self.clear()
-        packed = b"".join(i.to_bytes(4, "little") for i in self.encoder.encode(piece.encode("utf-8", "surrogatepass")))
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.encoder.encode(piece.encode("utf-8", "surrogatepass"))
+            packed = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self) >= PIECES:
+                self.old = dict(self)
+                self.clear()
             self[piece] = packed
         return packed
 
 
+@lru_cache(maxsize=1)
+def _pieces(ranks_file: bytes) -> _Pieces:
+    """One table for all tasks that a worker process runs."""
+    return _Pieces(PrefixEncoder(read_ranks(ranks_file)))
+
+
+@lru_cache(maxsize=1)
+def _tokens(ranks_file: bytes) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(ranks_file).items()}
+
+
 def _add(batch: pa.RecordBatch, name: str, values: list, drop: str | None) -> pa.RecordBatch:
     columns = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (name, drop)]
     return pa.RecordBatch.from_arrays([c for _, c in columns] + [pa.array(values, pa.binary())], [n for n, _ in columns] + [name])
@@ -200,7 +221,7 @@ def encode(df: DataFrame, ranks_file: bytes, pattern: str, text: str = "text", i
     drop = None if keep_text else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = splitter(pattern), _Pieces(PrefixEncoder(read_ranks(shared.value)))
+        split, pieces = splitter(pattern), _pieces(shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             yield _add(batch, ids, [b"".join(map(pieces.__getitem__, split(t))) if t else b"" for t in texts], drop)
@@ -216,7 +237,7 @@ def decode(df: DataFrame, ranks_file: bytes, ids: str = "token_ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        token = {rank: t for t, rank in read_ranks(shared.value).items()}.__getitem__
+        token = _tokens(shared.value).__getitem__
         for batch in batches:
             packed = batch.column(batch.schema.names.index(ids)).to_pylist()
             yield _add(batch, out, [b"".join(map(token, np.frombuffer(p, "<u4").tolist())) if p else b"" for p in packed], drop)
