@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,7 +95,7 @@ class _Lookup:
     """Longs to floats, many at once, by open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, (2 * len(keys)).bit_length() + 1)
+        self.bits = max(8, (2 * len(keys)).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
         left = np.arange(len(keys))
         at = self.place(keys)
@@ -152,15 +153,17 @@ class Scorer:
         return -(total[ends] - total[starts]) / (ends - starts)
 
 
-def _loaded(tables: dict[int, tuple[DataFrame, DataFrame]]) -> dict:
-    out = {}
+def _shared(spark: SparkSession, tables: dict[int, tuple[DataFrame, DataFrame]], in_memory: int) -> Broadcast | None:
+    """The tables as numpy arrays for every executor, if together they have at most ``in_memory`` rows."""
+    if sum(t.count() for pair in tables.values() for t in pair) > in_memory:
+        return None
+    loaded = {}
     for n, pair in tables.items():
-        out[n] = tuple((x[x.columns[0]].to_numpy(np.int64), x[x.columns[1]].to_numpy(np.float64)) for x in (t.toPandas() for t in pair))
-    return out
+        loaded[n] = tuple((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in (t.toArrow() for t in pair))
+    return spark.sparkContext.broadcast(loaded)
 
 
-def _score_here(docs: DataFrame, tables: dict, text: str, out: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_loaded(tables))
+def _score_here(docs: DataFrame, shared: Broadcast, text: str, out: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +201,13 @@ def _score_joined(docs: DataFrame, tables: dict, text: str, out: str) -> DataFra
 
 def perplexity(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]], text: str = "text", out: str = "perplexity", in_memory: int = IN_MEMORY) -> DataFrame:
     """All rows and columns of ``docs`` with ``out``: perplexity by byte of the whole text; null for null or empty ones."""
+    return _scored(docs, tables, _shared(docs.sparkSession, tables, in_memory), text, out)
+
+
+def _scored(docs: DataFrame, tables: dict, shared: Broadcast | None, text: str, out: str = "perplexity") -> DataFrame:
     text_batches(docs.sparkSession)
     docs = docs.drop(out)
-    size = sum(t.count() for pair in tables.values() for t in pair)
-    return _score_here(docs, tables, text, out) if size <= in_memory else _score_joined(docs, tables, text, out)
+    return _score_joined(docs, tables, text, out) if shared is None else _score_here(docs, shared, text, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", order: int = ORDER, keep: float = KEEP) -> DataFrame:
@@ -218,10 +224,11 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     good = docs.join(trusted, docs[doc_id] == F.col("_id"), "left_semi")
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
     tables = train(good.where(~fold), order, text)
-    held = settle(perplexity(good.where(fold).select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("text")), tables).select("_lang", "perplexity"))
+    shared = _shared(docs.sparkSession, tables, IN_MEMORY)
+    held = settle(_scored(good.where(fold).select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("text")), tables, shared, "text").select("_lang", "perplexity"))
     limit = F.percentile_approx("perplexity", keep, 100_000)
     whole = held.agg(limit).first()[0]
     each = F.broadcast(settle(held.groupBy("_lang").agg(limit.alias("threshold"), F.count("perplexity").alias("n")).where("n >= 20").orderBy(F.desc("n")).limit(1000)))  # rarer languages take the common one
-    out = perplexity(docs, tables, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit(""))).join(each.drop("n"), "_lang", "left").drop("_lang")
+    out = _scored(docs, tables, shared, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit(""))).join(each.drop("n"), "_lang", "left").drop("_lang")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(whole).cast("double")))
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
