@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm.common import text_batches
 
 #: Entries of pieces (in each of two generations) and of token pairs that a worker keeps of what it has met.
-PIECES, PAIRS = 120_000, 250_000
+PIECES, PAIRS = 200_000, 250_000
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
