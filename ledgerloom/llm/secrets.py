@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Candidates: a value after an assigning word, a known prefix, or a long run with a digit and a letter.
+#: Values have no upper length; a run is tried at its first character only and never given back, so its cost is its length.
 PATTERN = (
     r"""(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_[a-z]+_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9_])"""
-    r"""|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,200})"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])(?=[0-9+/_=-]{0,200}[A-Za-z])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])"""
+    r"""|(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{6,}+)"""
+    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"""
 )
 #: What leads the value within a candidate.
 LEAD = r"""^(?i:(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)\s{0,3}[=:]\s{0,3}["']?)"""
