@@ -20,16 +20,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id."""
-    groups = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    lost = small_side(settle(groups.where("NOT kept").select("doc_id").distinct()))
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group: the one of the smallest doc_id, rows without doc_id last.
+
+    Rows are judged one by one: each has a key of its own, so that a null or repeated doc_id neither hides a copy nor
+    drops another text. Rows without words form a group only if doc_id and text are equal.
+    """
+    rows = settle(docs.withColumns({"_row": F.monotonically_increasing_id(), "_all": F.xxhash64(*docs.columns)}))
+    groups = near_dedup.near_duplicates(rows, doc_id="_row").select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    bare = lambda c: F.when(F.col("n_shingles") == 0, c)
+    parts = rows.select("_row", "_all", "doc_id", F.sha2("text", 256).alias("_text")).join(groups, "_row")
+    parts = settle(parts.select("_row", "_all", "doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("g"), bare(F.col("doc_id")).alias("i"), bare(F.col("_text")).alias("t")))
+    first = parts.groupBy("g", "i", "t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_all", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    lost = small_side(settle(parts.select("_row").join(first, "_row", "left_anti")))
+    return rows.join(lost, "_row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
-    hit = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return docs.join(small_side(settle(hit.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+    """Rows in whose text no window of a benchmark item occurs, whatever their doc_id.
+
+    The operator's result is that of the text, so rows are dropped by doc_id, null or not, and the hash of the text:
+    texts need not go through a shuffle.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    hit = decontam.contamination(docs.select("doc_id", "text", text.alias("_text")), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    hit = small_side(settle(hit.select(F.col("doc_id").alias("_id"), "_text").distinct()))
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (text == hit["_text"]), "left_anti").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,18 @@ def test_empty_documents(spark, folder, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark, folder):
+    d, rows, items = folder
+    text = [r[1] for r in rows]
+    docs = lambda pairs: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in pairs], SCHEMA)
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    leak = text[2] + " " + items[0][1]
+    given = docs([(None, leak), (None, text[3]), (7, leak), (7, text[4]), (8, None), (None, None)])
+    assert got(c.decontaminate(spark, given, d)) == sorted([(None, text[3]), (7, text[4]), (8, None), (None, None)], key=str)
+
+    given = docs([(None, text[5]), (None, text[5]), (1, text[6]), (1, text[6]), (2, text[6]), (2, text[7]), (3, text[7] + " end"), (None, text[7]), (4, ""), (4, ""), (5, ""), (None, None), (None, None)])
+    out = c.dedup(spark, given, d)
+    assert out.columns == given.columns
+    assert got(out) == sorted([(None, text[5]), (1, text[6]), (2, text[7]), (4, ""), (5, ""), (None, None)], key=str)
