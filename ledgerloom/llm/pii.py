@@ -95,7 +95,7 @@ def _date(key: str) -> str:
 
 
 def _email(key: str) -> str:
-    """Letters of the name are permuted among words of their length (by twelve), digits among numbers; the host stays."""
+    """Letters of the name are permuted among words of their length (by twelve), digits among numbers (by eighteen); the host stays."""
     letters, digits = _only("lower(n)", "a-z"), _only("n")
     number = lambda s: f"aggregate(sequence(1, length({s})), cast(0 AS bigint), (t, k) -> t * 26 + (ascii(substr({s}, k, 1)) - 97))"
     spell = lambda v, n: f"array_join(transform(sequence({n} - 1, 0), k -> chr(97 + cast(({v} div cast(pow(26, k) AS bigint)) % 26 AS int))), '')"
@@ -104,7 +104,9 @@ def _email(key: str) -> str:
     tweak = f"concat('mail', length(q), '|', {digits})"
     word = _let(_feistel(f"IF({half} = 0, 0, {number(f'substr(q, 1, greatest({half}, 1))')})", number(f"substr(q, {half} + 1)"), size(half), size(f"length(q) - {half}"), tweak, key), "s", f"concat(IF({half} = 0, '', {spell('s.l', f'greatest({half}, 1)')}), {spell('s.r', f'(length(q) - {half})')})")
     chunks = f"IF(length(w) = 0, '', array_join(transform(sequence(0, (length(w) - 1) div 12), c -> {_let('substr(w, c * 12 + 1, 12)', 'q', word)}), ''))"
-    fresh_digits = f"IF(length(d) < 2, IF(d = '', '', cast((cast(d AS int) + cast(conv(substr(sha2(concat('{key}', '|mail1|'), 256), 1, 6), 16, 10) AS int)) % 10 AS string)), {_digits('d', 'mail', key)})"
+    one = f"cast((cast(e AS int) + cast(conv(substr(sha2(concat('{key}', '|mail1|'), 256), 1, 6), 16, 10) AS int)) % 10 AS string)"
+    part = _let("substr(d, c * 18 + 1, 18)", "e", f"IF(length(e) < 2, {one}, {_digits('e', 'mail', key)})")
+    fresh_digits = f"IF(d = '', '', array_join(transform(sequence(0, (length(d) - 1) div 18), c -> {part}), ''))"
     lowered = _let(_let(letters, "w", chunks), "f", _refill("lower(n)", "f", "a-z"))
     both = _let(lowered, "o", _let(_let(digits, "d", _let(letters, "w", fresh_digits)), "g", _refill("o", "g", "0-9")))
     return _let("substring_index(m, '@', 1)", "n", f"concat({both}, '@', substring_index(m, '@', -1))")

@@ -52,3 +52,11 @@ def test_edge_rows(spark):
     assert run(spark, ["42.144.35.254 42.144.35.254"])[0][0].split(" ")[0] == run(spark, ["42.144.35.254"])[0][0]
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
     assert set(pii.pseudonymise(spark.createDataFrame([(1, "t", 5)], "doc_id long, text string, pii int"), "k").columns) == {"doc_id", "text", "pii"}
+
+
+def test_long_digits_of_email_names(spark):
+    names = [("1234567890" * 9)[:n] for n in (1, 2, 18, 19, 30, 36, 37, 54, 55, 80)] + ["e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "x" + "9" * 37, "x" + "9" * 36 + "8"]
+    got = [n for n, _ in run(spark, [f"id {n}@host.org ok" for n in names])]
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", s))
+    assert [shape(g) for g in got] == [shape(f"id {n}@host.org ok") for n in names]
+    assert len(set(got)) == len(names) and all(n not in g for n, g in list(zip(names, got, strict=True))[1:])
