@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms of personal data.
 
-Card numbers, phone numbers, social security numbers, IPv4 addresses, dates and the names in e-mail addresses are
+Card numbers, IBANs, phone numbers, social security numbers, IPv4 addresses, dates and the names in e-mail addresses are
 found, validated and permuted within their format by a keyed Feistel network, so equal values get equal pseudonyms
 in all documents and different values stay different. Everything is built-in SQL functions.
 """
@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-#: One pattern for each kind; a match is validated before it is changed.
+#: Length of an IBAN by country, as registered.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_GROUPS = lambda n: "(?: ?[A-Z0-9]{4}){%d}" % (n // 4 - 1) + (" ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")
+_IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{_GROUPS(n)}" for n, c in IBAN_LENGTHS.items())
+#: Country codes of phones that are written without a separator.
+_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: One pattern for each kind; a match is validated before it is changed. An e-mail name begins where a run of letters
+#: and digits does, or right after a match.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": _LEFT + r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})" + _RIGHT,
-    "date": _LEFT + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _RIGHT,
+    "email": r"(?:(?<![\p{L}\p{M}\p{N}])|\G)[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "phone": _LEFT + r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\.[0-9])|[0-9]{3} [0-9]{3} [0-9]{4}(?![ -][0-9])|\+[0-9]{7,15})" + _RIGHT,
+    "date": _LEFT + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + _RIGHT,
     "ssn": _LEFT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
     "ip": _LEFT + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _RIGHT,
+    "iban": _LEFT + r"(?=[A-Z]{2}[0-9]{2})(?:" + _IBAN + ")" + _RIGHT,
     "card": _LEFT + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _RIGHT,
 }
 #: Rounds of the Feistel network.
@@ -68,7 +76,7 @@ def _card(key: str) -> str:
 
 def _phone(key: str) -> str:
     """The country code after a plus stays."""
-    code = "regexp_extract(m, '^\\\\+[0-9]{1,3}', 0)"
+    code = f"regexp_extract(m, '^\\\\+(?:[0-9]{{1,3}}(?![0-9])|{_CODES})', 0)"
     own = _let(_only("t"), "d", f"IF(length(d) BETWEEN 6 AND 14, concat(c, {_let(_digits('d', 'phone', key), 'f', _refill('t', 'f', '0-9'))}), m)")
     return _let(code, "c", _let("substr(m, length(c) + 1)", "t", own))
 
@@ -85,12 +93,31 @@ def _ip(key: str) -> str:
     return _let("split(m, '\\\\.')", "p", f"IF({valid}, {fresh}, m)")
 
 
+def _iban(key: str) -> str:
+    """Digits after the check digits are permuted, letters stay, check digits are made anew; a card within stays no less covered."""
+    rest = lambda d: f"aggregate(sequence(1, length({d})), 0, (t, k) -> {_let(f'substr({d}, k, 1)', 'x', 'IF(ascii(x) > 57, t * 100 + ascii(x) - 55, t * 10 + cast(x AS int)) % 97')})"
+    body = _let("substr(v, 5)", "b", _let(_only("b"), "d", f"IF(length(d) < 2, b, {_let(_digits('d', 'iban', key), 'f', _refill('b', 'f', '0-9'))})"))
+    check = f"lpad(cast(98 - {rest('y')} AS string), 2, '0')"
+    fresh = _let(body, "o", _let("concat(o, substr(v, 1, 2), '00')", "y", _let(f"concat(substr(v, 1, 2), {check}, o)", "z", _refill("m", "z", "A-Z0-9"))))
+    valid = f"substr(v, 3, 2) BETWEEN '02' AND '98' AND {_let('concat(substr(v, 5), substr(v, 1, 4))', 'y', rest('y'))} = 1"
+    within = "regexp_extract(m, '(?<= )[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}(?![0-9A-Za-z])', 0)"
+    other = _let("m", "whole", _let(within, "m", f"IF(m = '', whole, replace(whole, m, {_card(key)}))"))
+    return _let("replace(m, ' ', '')", "v", f"IF({valid}, {fresh}, {other})")
+
+
 def _date(key: str) -> str:
-    """Steps of the network over 2^18 numbers are repeated until a day of the range comes out."""
-    form = "CASE WHEN m LIKE '____-%' THEN 'yyyy-MM-dd' WHEN m LIKE '__/%' THEN 'dd/MM/yyyy' ELSE 'dd.MM.yyyy' END"
-    walk = f"aggregate(sequence(1, 120), named_struct('n', cast(datediff(x, date'{FIRST_DAY}') AS bigint), 'ok', false), (w, u) -> IF(w.ok, w, {_let(_feistel('w.n div 512', 'w.n % 512', '512', '512', chr(39) + 'date' + chr(39), key), 's', f'named_struct({chr(39)}n{chr(39)}, s.l * 512 + s.r, {chr(39)}ok{chr(39)}, s.l * 512 + s.r < {DAYS})')}))"
+    """Steps of the network over 2^18 numbers are repeated until a day of the range comes out.
+
+    Slashes are read as day, month, year, and as month, day, year only if that is no date. The days of the second
+    reading (after the 12th) are permuted among themselves, so that pseudonyms of both don't meet.
+    """
+    short = "m RLIKE '^[0-9][/.]|[/.][0-9][/.]'"
+    form = f"CASE WHEN m LIKE '____-%' THEN 'yyyy-MM-dd' WHEN m LIKE '%.%' THEN IF({short}, 'd.M.yyyy', 'dd.MM.yyyy') WHEN try_to_date(m, 'd/M/yyyy') IS NULL THEN IF({short}, 'M/d/yyyy', 'MM/dd/yyyy') ELSE IF({short}, 'd/M/yyyy', 'dd/MM/yyyy') END"
+    held = f"s.l * 512 + s.r < {DAYS} AND (f NOT LIKE 'M%' OR day(date_add(date'{FIRST_DAY}', cast(s.l * 512 + s.r AS int))) > 12)"
+    state = _feistel("w.n div 512", "w.n % 512", "512", "512", "'date'", key)
+    walk = f"aggregate(sequence(1, 240), named_struct('n', cast(datediff(x, date'{FIRST_DAY}') AS bigint), 'ok', false), (w, u) -> IF(w.ok, w, {_let(state, 's', f'named_struct({chr(39)}n{chr(39)}, s.l * 512 + s.r, {chr(39)}ok{chr(39)}, {held})')}))"
     fresh = _let(walk, "w", f"IF(w.ok, date_format(date_add(date'{FIRST_DAY}', cast(w.n AS int)), f), m)")
-    day = "CASE WHEN m LIKE '____-%' THEN try_to_date(m, 'yyyy-MM-dd') WHEN m LIKE '__/%' THEN try_to_date(m, 'dd/MM/yyyy') ELSE try_to_date(m, 'dd.MM.yyyy') END"
+    day = "CASE WHEN m LIKE '____-%' THEN try_to_date(m, 'yyyy-MM-dd') WHEN m LIKE '%.%' THEN try_to_date(m, 'd.M.yyyy') ELSE coalesce(try_to_date(m, 'd/M/yyyy'), try_to_date(m, 'M/d/yyyy')) END"
     return _let(form, "f", _let(day, "x", f"IF(x IS NULL OR NOT (x BETWEEN date'{FIRST_DAY}' AND date_add(date'{FIRST_DAY}', {DAYS - 1})), m, {fresh})"))
 
 
@@ -109,7 +136,14 @@ def _email(key: str) -> str:
     fresh_digits = f"IF(d = '', '', array_join(transform(sequence(0, (length(d) - 1) div 18), c -> {part}), ''))"
     lowered = _let(_let(letters, "w", chunks), "f", _refill("lower(n)", "f", "a-z"))
     both = _let(lowered, "o", _let(_let(digits, "d", _let(letters, "w", fresh_digits)), "g", _refill("o", "g", "0-9")))
-    return _let("substring_index(m, '@', 1)", "n", f"concat({both}, '@', substring_index(m, '@', -1))")
+    # letters beyond ASCII move among those of their 32 code points, by a hash of the name before them
+    point = lambda v: f"decode(unhex(lpad(hex({v}), 8, '0')), 'UTF-32')"
+    block = f"filter(transform(sequence(0, 31), h -> {point('ascii(x) div 32 * 32 + h')}), y -> y RLIKE r'^\\p{{L}}$' AND lower(y) = y)"
+    shift = f"1 + cast(conv(substr(sha2(concat('{key}', '|letter|', substr(n, 1, j - 1)), 256), 1, 8), 16, 10) AS bigint) % greatest(size(a) - 1, 1)"
+    moved = _let(block, "a", f"IF(array_position(a, x) = 0, x, element_at(a, cast((array_position(a, x) - 1 + {shift}) % size(a) + 1 AS int)))")
+    wide = f"array_join(transform(sequence(1, length(o)), j -> {_let('substr(o, j, 1)', 'x', f'IF(ascii(x) < 128, x, {moved})')}), '')"
+    both = f"IF(n RLIKE '[^ -~]', {_let(both, 'o', wide)}, {both})"
+    return _let("lower(substring_index(m, '@', 1))", "n", f"concat({both}, '@', substring_index(m, '@', -1))")
 
 
 def _long_digits_guard(expression: str) -> str:
@@ -125,14 +159,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key may not hold quotes or backslashes")
-    make = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email}
+    make = {"card": _card, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email}
     pattern = "|".join(f"({PATTERNS[k]})" for k in kinds)
     if "card" in kinds:  # the separator's group is numbered after the kinds before it
         pattern = pattern.replace(r"\1", rf"\{list(kinds).index('card') + 2}")
     docs = docs.drop(spans).withColumn("_t", F.col(text))
     found = docs.withColumn("_m", F.when(F.col("_t").rlike(r"[0-9]|@"), F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     kind = "CASE " + " ".join(f"WHEN m RLIKE r'^(?:{PATTERNS[k]})$' THEN '{k}'" for k in kinds) + " END"
-    changed = "CASE " + " ".join(f"WHEN k = '{k}' THEN {_long_digits_guard(make[k](key)) if k != 'email' else make[k](key)}" for k in kinds) + " ELSE m END"
+    changed = "CASE " + " ".join(f"WHEN k = '{k}' THEN {_long_digits_guard(make[k](key)) if k not in ('email', 'iban') else make[k](key)}" for k in kinds) + " ELSE m END"
     found = found.withColumn("_n", F.expr(f"IF(size(_m) = 0, array(), transform(_m, m -> {_let(kind, 'k', f'named_struct({chr(39)}kind{chr(39)}, k, {chr(39)}old{chr(39)}, m, {chr(39)}new{chr(39)}, {changed})')}))"))
     found = found.withColumn("_g", F.when(F.size("_m") > 0, F.split("_t", pattern, -1)))
     fresh = F.expr("IF(size(_m) = 0, _t, concat(array_join(transform(_n, (x, i) -> concat(_g[i], x.new)), ''), _g[size(_n)]))")

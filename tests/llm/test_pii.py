@@ -60,3 +60,28 @@ def test_long_digits_of_email_names(spark):
     shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", s))
     assert [shape(g) for g in got] == [shape(f"id {n}@host.org ok") for n in names]
     assert len(set(got)) == len(names) and all(n not in g for n, g in list(zip(names, got, strict=True))[1:])
+
+
+def test_further_forms(spark):
+    given = ["+15551234567", "+442079460958", "555.123.4567", "555 123 4567", "12/25/1990", "1/25/1990", "1/5/1990", "1.5.1990", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "josé.42@x.com", "иван@x.ru"]
+    kinds = ["phone"] * 4 + ["date"] * 4 + ["iban"] * 2 + ["email"] * 2
+    new, spans = run(spark, [" ; ".join(given)])[0]
+    assert [s.kind for s in spans] == kinds
+    got = new.split(" ; ")
+    assert all(a != b for a, b in zip(got, given, strict=True))
+    assert got[0].startswith("+1") and got[1].startswith("+44") and [len(g) for g in got[:4]] == [len(g) for g in given[:4]]
+    m, d, y = map(int, got[4].split("/"))
+    assert d > 12 and date(y, m, d) and len(got[4]) == 10
+    for g, w in zip(got[8:10], given[8:10], strict=True):
+        v = g.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1 and [c == " " for c in g] == [c == " " for c in w]
+    assert "NWBK" in got[9] and "é" not in got[10] and not set("иван") <= set(got[11]) and got[11].endswith("@x.ru") and got[11][:4].isalpha()
+
+
+def test_what_isnt_of_a_further_form(spark):
+    text = "DE88370400440532013000 XX89370400440532013000 555.123.4567.8 13/32/1990 +123456"
+    assert run(spark, [text]) == [(text, [])]
+    new, spans = run(spark, ["555 123 4111 1111 1111 1111 1 DE12 4111 1111 1111 1111 11"])[0]
+    assert "DE12 " in new and "4111 1111 1111 1111" not in new and len(spans) == 2
+    days = [f"{m:02}/{d:02}/1990" for m in range(1, 13) for d in range(1, 29)]
+    assert len({n for n, _ in run(spark, days)}) == len(days)
