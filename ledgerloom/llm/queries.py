@@ -55,10 +55,7 @@ def ranks_file() -> bytes:
 def bpe_digests(docs: DataFrame, ranks: bytes, keep_ids: bool = False) -> DataFrame:
     import public_tokenizers as P
 
-    out = byte_bpe.encode(docs, ranks, P.PATTERN)
-    if keep_ids:  # decoding in a job of its own takes half as many Python workers at once
-        out = settle(out)
-    out = byte_bpe.decode(out, ranks)
+    out = byte_bpe.round_trip(docs, ranks, P.PATTERN)
     digests = [(F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
     return out.select("doc_id", *digests, *(["token_ids"] if keep_ids else []))
 

@@ -27,6 +27,24 @@ def test_random_texts():
         assert [i for p in SPLIT(text) for i in ENCODER.encode(p.encode())] == TIKTOKEN.encode_ordinary(text)
 
 
+def test_many_pieces_side_by_side():
+    r = random.Random(5)
+    pieces = [bytes(r.choice(b"abest hinr\xc3\xa9\xe4\xb8\xad1!\n\x00\xff") for _ in range(r.randint(1, 40))) for _ in range(5000)] + [b"x" * 300]
+    for piece, packed in zip(pieces, byte_bpe.vocabulary(ranks_file()).encode(pieces), strict=True):
+        ids = [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+        assert ids == TIKTOKEN._core_bpe.encode_single_piece(piece)
+    assert byte_bpe.vocabulary(ranks_file()).encode([]) == []
+
+
+def test_a_small_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECES", 20)
+    monkeypatch.setattr(byte_bpe, "GROUP", 3)
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 4)
+    shared = type("Shared", (), {"value": byte_bpe.vocabulary(ranks_file())})
+    for packed, text in zip(byte_bpe._encoder(shared, P.PATTERN)(TEXTS), TEXTS, strict=True):
+        assert packed == b"".join(i.to_bytes(4, "little") for i in TIKTOKEN.encode_ordinary(text))
+
+
 def test_append_and_edit_keep_the_table_exact():
     r = random.Random(4)
     for _ in range(300):
@@ -50,5 +68,12 @@ def test_round_trip_and_digests(spark):
         assert r.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def test_encode_and_decode_apart(spark):
+    docs = spark.createDataFrame([(i, t, b"old") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, decoded binary")
+    out = byte_bpe.decode(byte_bpe.encode(docs, ranks_file(), P.PATTERN, keep_text=True), ranks_file(), keep_ids=False)
+    assert out.columns == ["doc_id", "text", "decoded"]
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in out.collect())
+
+
 def test_empty_table(spark):
     assert bpe_digests(spark.createDataFrame([], "doc_id long, text string"), ranks_file()).count() == 0
