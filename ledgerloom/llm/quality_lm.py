@@ -1,8 +1,9 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted text.
 
-An n-gram of up to eight bytes is one long, so counts, continuation counts, discounts, back-off weights and the
-interpolation are joins and aggregations of sharded tables over all trusted text. The finished tables score documents
-from memory while they are small (they are counted first), and by joins beyond that; both give the same perplexities.
+An n-gram of up to seven bytes is one long, so counts, continuation counts, discounts, back-off weights and the
+interpolation are joins and aggregations of sharded tables over all trusted text. Logarithms are kept as whole numbers
+(2^20 parts), so a document's sum is the same in whatever order it is added. The finished tables score documents from
+memory while they are small (they are counted first), and by joins beyond that, with identical perplexities.
 A document is kept if its perplexity is at most a high quantile of held-out trusted text in its language.
 """
 
@@ -13,61 +14,74 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import settle, small_side, text_batches
+from ledgerloom.llm.lookup import Lookup
 
 #: Bytes of the longest n-gram; at most 7.
 ORDER = 5
-#: Share of trusted text that a language's threshold lets through, and the fold that sets it.
-KEEP, FOLDS = 0.995, 5
-#: Rows of all tables together up to which a copy goes to every executor (at 12 bytes each).
-IN_MEMORY = 4_000_000
-
-
-def joined(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams of the texts, with where each text's begin and end; each text is led by line ends and ended by one."""
+#: Share of trusted text that a language's threshold lets through, the fold that sets it, and how many held-out texts a
+#: language needs for a threshold of its own (with fewer a 0.995 quantile says nothing; it takes that of all text).
+KEEP, FOLDS, OWN = 0.995, 5, 20
+#: Rows of all tables together up to which a copy goes to every executor (at 12 bytes each, and up to 2.8 times that).
+IN_MEMORY = 2_000_000
+#: Parts of one in a stored logarithm, n-grams taken at once, and counted n-grams that a task holds.
+PARTS, AT_ONCE, HELD = 1 << 20, 1 << 18, 1 << 19
+UNKNOWN = -round(float(np.log(256)) * PARTS)
+
+
+def flattened(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, with where each text's n-grams begin and end; each text is led by line ends and ended by one."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     lengths = np.array([len(r) for r in raw], np.int64)
     pad = b"\n" * (order - 1)
     flat = np.frombuffer(b"".join(x for r in raw for x in (pad, r, b"\n")), np.uint8)
-    n = max(0, len(flat) - order + 1)
-    grams = np.zeros(n, np.uint64)
+    starts = np.cumsum(lengths + order) - lengths - order
+    return flat, starts, starts + lengths + 1
+
+
+def grams_of(flat: np.ndarray, begin: int, end: int, order: int) -> np.ndarray:
+    """The n-grams that begin at these places."""
+    grams = np.zeros(end - begin, np.int64)
     for i in range(order):
-        grams = (grams << np.uint64(8)) | flat[i : n + i]
-    starts = np.concatenate([[0], np.cumsum(lengths + order)[:-1]]) if len(raw) else lengths
-    return grams, starts, starts + lengths + 1
+        grams = (grams << 8) | flat[begin + i : end + i]
+    return grams
 
 
 def _counted(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["gram", "c"])
 
         for batch in batches:
-            grams, starts, ends = joined(batch.column(0).to_pylist(), order)
-            own = np.zeros(len(grams) + 1, np.int64)
+            flat, starts, ends = flattened(batch.column(0).to_pylist(), order)
+            own = np.zeros(len(flat) + 1, np.int8)
             np.add.at(own, starts, 1)
             np.add.at(own, ends, -1)
-            new, n = np.unique(grams[np.cumsum(own[:-1]) > 0], return_counts=True)
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(keys) > 2_000_000:
-                yield rows()
-                keys, counts = keys[:0], counts[:0]
+            own = np.cumsum(own, dtype=np.int8).astype(bool)
+            for at in range(0, len(flat) - order + 1, AT_ONCE):
+                end = min(at + AT_ONCE, len(flat) - order + 1)
+                new, n = np.unique(grams_of(flat, at, end, order)[own[at:end]], return_counts=True)
+                both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                keys, counts = both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+                if len(keys) > HELD:
+                    yield rows()
+                    keys, counts = keys[:0], counts[:0]
         yield rows()
 
     return run
 
 
 def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> dict[int, tuple[DataFrame, DataFrame]]:
-    """For each n the tables (gram, p) and (context, g): interpolated probabilities and back-off weights.
+    """For each n the tables (gram, p, lp) and (context, g, lg): interpolated probabilities and back-off weights.
 
-    texts: trusted documents; null and empty ones add only a line end. The table of n = 1 backs off to 1/256.
+    lp and lg are their logarithms in whole parts of PARTS. texts: trusted documents; null and empty ones add only a
+    line end. The table of n = 1 backs off to 1/256.
     """
     text_batches(texts.sparkSession)
     level = settle(texts.select(text).mapInArrow(_counted(order), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")))
@@ -87,70 +101,45 @@ def train(texts: DataFrame, order: int = ORDER, text: str = "text") -> dict[int,
             rows = rows.withColumn("lower", F.lit(1 / 256))
         else:
             rows = rows.join(tables[n - 1][0].select(F.col("gram").alias("low"), F.col("p").alias("lower")), "low")
-        tables[n] = settle(rows.select("gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("g") * F.col("lower")).alias("p"))), sums.select("context", "g")
+        p = rows.select("gram", ((F.col("c") - F.col("d")) / F.col("all") + F.col("g") * F.col("lower")).alias("p"))
+        tables[n] = settle(p.withColumn("lp", _parts(F.col("p")))), sums.select("context", "g", _parts(F.col("g")).alias("lg"))
     return tables
 
 
-class _Lookup:
-    """Longs to floats, many at once, by open addressing."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, (2 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        left = np.arange(len(keys))
-        at = self.place(keys)
-        while len(left):
-            free = self.keys[at[left]] == -1
-            self.keys[at[left[free]]] = keys[left[free]]
-            won = self.keys[at[left]] == keys[left]
-            self.values[at[left[won]]] = values[left[won]]
-            left = left[~won]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        at = self.place(keys)
-        met = self.keys[at]
-        out = np.where(met == keys, self.values[at], np.float32(default))
-        left = np.flatnonzero((met != keys) & (met != -1))
-        while len(left):
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-            met = self.keys[at[left]]
-            hit = met == keys[left]
-            out[left[hit]] = self.values[at[left[hit]]]
-            left = left[~hit & (met != -1)]
-        return out
+def _parts(x: Column) -> Column:
+    return F.round(F.log(x) * PARTS).cast("int")
 
 
 class Scorer:
-    """The tables of ``train`` in memory."""
+    """The tables of ``train`` in memory: for each n the keys and logarithms of both."""
 
     def __init__(self, tables: dict[int, tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]):
         self.order = max(tables)
-        self.p = {n: _Lookup(k, np.log(v)) for n, ((k, v), _) in tables.items()}
-        self.g = {n: _Lookup(k, np.log(v)) for n, (_, (k, v)) in tables.items()}
+        self.p = {n: Lookup(*pair) for n, (pair, _) in tables.items()}
+        self.g = {n: Lookup(*pair) for n, (_, pair) in tables.items()}
 
     def log_p(self, grams: np.ndarray, n: int) -> np.ndarray:
-        found = self.p[n].get(grams, 1.0)
+        found = self.p[n].get(grams, 1).astype(np.int64)
         miss = np.flatnonzero(found > 0)
         if len(miss):
             few = grams[miss]
-            lower = self.log_p(few % (1 << 8 * (n - 1)), n - 1) if n > 1 else np.float32(-np.log(256))
-            found[miss] = self.g[n].get(few >> 8, 0.0) + lower
+            lower = self.log_p(few % (1 << 8 * (n - 1)), n - 1) if n > 1 else UNKNOWN
+            found[miss] = self.g[n].get(few >> 8, 0) + lower
         return found
 
-    def surprise(self, texts: list[str | None]) -> np.ndarray:
-        """Mean of -log p over the bytes of each text and its end."""
-        grams, starts, ends = joined(texts, self.order)
-        if not len(texts):
-            return np.empty(0)
-        total = np.zeros(len(grams) + 1)
-        for at in range(0, len(grams), 1 << 19):
-            total[at + 1 : at + 1 + (1 << 19)] = self.log_p(grams[at : at + (1 << 19)].view(np.int64), self.order)
-        total = np.cumsum(total)
-        return -(total[ends] - total[starts]) / (ends - starts)
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, with its end: the sum of log p over its bytes, in parts of PARTS, and how many they are."""
+        flat, starts, ends = flattened(texts, self.order)
+        edges = np.concatenate([starts, ends])
+        order = np.argsort(edges, kind="stable")
+        upto, so_far, last = np.zeros(len(edges), np.int64), 0, len(flat) - self.order + 1
+        for at in range(0, max(last, 0), AT_ONCE):
+            end = min(at + AT_ONCE, last)
+            sums = so_far + np.concatenate([[0], np.cumsum(self.log_p(grams_of(flat, at, end, self.order), self.order))])
+            here = order[np.searchsorted(edges, at, "left", order) : np.searchsorted(edges, end, "right", order)]
+            upto[here] = sums[edges[here] - at]
+            so_far = sums[-1]
+        return upto[len(starts) :] - upto[: len(starts)], ends - starts
 
 
 def _shared(spark: SparkSession, tables: dict[int, tuple[DataFrame, DataFrame]], in_memory: int) -> Broadcast | None:
@@ -158,25 +147,29 @@ def _shared(spark: SparkSession, tables: dict[int, tuple[DataFrame, DataFrame]],
     if sum(t.count() for pair in tables.values() for t in pair) > in_memory:
         return None
     loaded = {}
-    for n, pair in tables.items():
-        loaded[n] = tuple((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in (t.toArrow() for t in pair))
-    return spark.sparkContext.broadcast(loaded)
+    for n, (p, g) in tables.items():
+        both = (t.toArrow() for t in (p.select("gram", "lp"), g.select("context", "lg")))
+        loaded[n] = tuple((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in both)
+    return spark.sparkContext.broadcast(Scorer(loaded))
 
 
-def _score_here(docs: DataFrame, shared: Broadcast, text: str, out: str) -> DataFrame:
+def _sums_here(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
+    """All of ``docs`` with _sum and _n of each text that isn't null or empty."""
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value  # loaded once by a worker process
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            yield batch.append_column(out, pa.array([float(np.exp(s)) if t else None for s, t in zip(scorer.surprise(texts), texts, strict=True)], pa.float64()))
+            sums, n = scorer.sums(texts)
+            none = np.array([not t for t in texts], bool)
+            yield batch.append_column("_sum", pa.array(sums, pa.int64(), mask=none)).append_column("_n", pa.array(n, pa.int64(), mask=none))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sum", T.LongType()), T.StructField("_n", T.LongType())]))
 
 
-def _score_joined(docs: DataFrame, tables: dict, text: str, out: str) -> DataFrame:
-    """As ``_score_here`` by joins with the sharded tables; texts are known by their SHA-256 meanwhile."""
+def _sums_joined(docs: DataFrame, tables: dict, text: str) -> DataFrame:
+    """As ``_sums_here`` by joins with the sharded tables; texts are known by their SHA-256 meanwhile."""
     order = max(tables)
     docs = docs.withColumn("_h", F.sha2(text, 256))
     unique = docs.where(F.length(text) > 0).select("_h", F.col(text).alias("t")).dropDuplicates(["_h"])
@@ -184,38 +177,40 @@ def _score_joined(docs: DataFrame, tables: dict, text: str, out: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams, _, ends = joined([t], order)
-                keys, n = np.unique(grams[: ends[0]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["_h", "gram", "n"])
+                flat, _, ends = flattened([t], order)
+                for at in range(0, int(ends[0]), AT_ONCE):
+                    keys, n = np.unique(grams_of(flat, at, min(at + AT_ONCE, int(ends[0])), order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["_h", "gram", "n"])
 
     rows = settle(unique.mapInArrow(run, "_h string, gram long, n long"))
-    grams = rows.select("gram").distinct().withColumn("lp", F.lit(-float(np.log(256))))
+    grams = rows.select("gram").distinct().withColumn("lp", F.lit(UNKNOWN))
     for n in range(1, order + 1):
         p, g = tables[n]
         grams = grams.withColumn("k", F.col("gram") % F.lit(1 << 8 * n)).withColumn("c", F.shiftright("k", 8))
-        grams = grams.join(p.select(F.col("gram").alias("k"), "p"), "k", "left").join(g.select(F.col("context").alias("c"), "g"), "c", "left")
-        grams = settle(grams.select("gram", F.coalesce(F.log("p"), F.col("lp") + F.coalesce(F.log("g"), F.lit(0.0))).alias("lp")))
-    sums = rows.join(grams, "gram").groupBy("_h").agg(F.exp(-F.sum(F.col("n") * F.col("lp")) / F.sum("n")).alias(out))
+        grams = grams.join(p.select(F.col("gram").alias("k"), F.col("lp").alias("own")), "k", "left").join(g.select(F.col("context").alias("c"), "lg"), "c", "left")
+        grams = settle(grams.select("gram", F.coalesce("own", F.col("lp") + F.coalesce("lg", F.lit(0))).alias("lp")))
+    sums = rows.join(grams, "gram").groupBy("_h").agg(F.sum(F.col("n") * F.col("lp")).alias("_sum"), F.sum("n").alias("_n"))
     return docs.join(sums, "_h", "left").drop("_h")
 
 
 def perplexity(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]], text: str = "text", out: str = "perplexity", in_memory: int = IN_MEMORY) -> DataFrame:
-    """All rows and columns of ``docs`` with ``out``: perplexity by byte of the whole text; null for null or empty ones."""
+    """All rows and columns of ``docs`` with ``out``: perplexity by byte of the whole text, to six decimals; null for null or empty ones."""
     return _scored(docs, tables, _shared(docs.sparkSession, tables, in_memory), text, out)
 
 
 def _scored(docs: DataFrame, tables: dict, shared: Broadcast | None, text: str, out: str = "perplexity") -> DataFrame:
     text_batches(docs.sparkSession)
     docs = docs.drop(out)
-    return _score_joined(docs, tables, text, out) if shared is None else _score_here(docs, shared, text, out)
+    sums = _sums_joined(docs, tables, text) if shared is None else _sums_here(docs, shared, text)
+    return sums.withColumn(out, F.round(F.exp(-F.col("_sum") / (F.col("_n") * float(PARTS))), 6)).drop("_sum", "_n")
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", order: int = ORDER, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quality: str = "quality", order: int = ORDER, keep: float = KEEP, in_memory: int = IN_MEMORY) -> DataFrame:
     """All rows and columns of ``docs`` with perplexity, threshold and kept (boolean).
 
     Trusted are documents with quality 1 among ``labels`` (and no other value). One fold of them sets each language's
-    threshold, the others train. A language (null is one) without held-out trusted text takes the threshold of all;
-    without any, everything with text is kept. Null and empty texts have no perplexity and are not kept. Columns
+    threshold, the others train. A language (null is one) of fewer than OWN held-out trusted texts takes the threshold
+    of all; without any, everything with text is kept. Null and empty texts have no perplexity and are not kept. Columns
     named perplexity, threshold or kept are replaced.
     """
     docs = docs.drop("perplexity", "threshold", "kept")
@@ -224,11 +219,11 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     good = docs.join(trusted, docs[doc_id] == F.col("_id"), "left_semi")
     fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
     tables = train(good.where(~fold), order, text)
-    shared = _shared(docs.sparkSession, tables, IN_MEMORY)
+    shared = _shared(docs.sparkSession, tables, in_memory)
     held = settle(_scored(good.where(fold).select(F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("text")), tables, shared, "text").select("_lang", "perplexity"))
     limit = F.percentile_approx("perplexity", keep, 100_000)
     whole = held.agg(limit).first()[0]
-    each = F.broadcast(settle(held.groupBy("_lang").agg(limit.alias("threshold"), F.count("perplexity").alias("n")).where("n >= 20").orderBy(F.desc("n")).limit(1000)))  # rarer languages take the common one
-    out = _scored(docs, tables, shared, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit(""))).join(each.drop("n"), "_lang", "left").drop("_lang")
+    each = small_side(settle(held.groupBy("_lang").agg(limit.alias("threshold"), F.count("perplexity").alias("n")).where(F.col("n") >= OWN).drop("n")))
+    out = _scored(docs, tables, shared, text).withColumn("_lang", F.coalesce(F.col(lang), F.lit(""))).join(each, "_lang", "left").drop("_lang")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(whole).cast("double")))
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -56,13 +56,33 @@ def test_tables_are_the_brute_model_on_both_paths(spark, corpus):
     tables = q.train(spark.createDataFrame([(t,) for t in [*corpus, None, ""]], "text string"), 4)
     p = brute_model([*corpus, None, ""], 4)
     assert abs(sum(p(b"the" + bytes([b])) for b in range(256)) - 1) < 1e-9
-    texts = [corpus[0], "zzz \x00 ¿?", "the the the", "漢" * 50, corpus[1], corpus[1], "", None]
+    texts = [corpus[0], "zzz \x00 ¿?", "the the the", "漢" * 50, corpus[1], corpus[1], "", None, " ".join(corpus) * 100]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, gram string")
-    for memory in (q.IN_MEMORY, 0):
-        got = {r.doc_id: r.perplexity for r in q.perplexity(docs, tables, in_memory=memory).collect()}
-        assert len(got) == len(texts)
-        for i, t in enumerate(texts):
-            assert got[i] == (pytest.approx(perplexity(p, t, 4), rel=1e-4) if t else None)
+    here, joined = ({r.doc_id: r.perplexity for r in q.perplexity(docs, tables, in_memory=memory).collect()} for memory in (q.IN_MEMORY, 0))
+    assert here == joined and len(here) == len(texts)
+    for i, t in enumerate(texts):
+        assert here[i] == (pytest.approx(perplexity(p, t, 4), rel=2e-6) if t else None)
+
+
+def test_texts_longer_than_what_is_taken_at_once(spark, corpus, monkeypatch):
+    tables = q.train(spark.createDataFrame([(t,) for t in corpus], "text string"), 4)
+    scorer = q._shared(spark, tables, q.IN_MEMORY).value
+    texts = [corpus[0], None, corpus[1] * 3, "", corpus[2]]
+    whole = [x.tolist() for x in scorer.sums(texts)]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(q, "AT_ONCE", size)
+        assert [x.tolist() for x in scorer.sums(texts)] == whole
+
+
+def test_each_language_has_its_threshold(spark, corpus):
+    """However many languages there are, and whichever path scores."""
+    langs = [f"l{i}" for i in range(12)]
+    rows = [(i, t, langs[i % 12]) for i, t in enumerate(corpus * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id").selectExpr("doc_id", "1 AS quality")
+    one, two = (sorted((r.doc_id, r.perplexity, r.threshold, r.kept) for r in q.classify(docs, labels, in_memory=m).collect()) for m in (q.IN_MEMORY, 0))
+    assert one == two
+    assert len({t for _, _, t, _ in one}) > 3
 
 
 def test_noise_goes_and_clean_text_stays(spark, corpus):
