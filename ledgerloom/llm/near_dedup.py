@@ -10,6 +10,9 @@ Within a bucket not all pairs are listed: members are first compared with two hu
 still in several components go through an exact prefix join: shingles are ordered by rarity, linked sets must share one
 early enough in both, and such shingles' documents are again compared with a hub first and only across components then.
 So a group of near copies costs about its size, and no pair that shares a bucket is left undecided.
+
+A shingle is 64 bits mixed from sound hashes of its words, so two different ones agree with a chance of 2^-64. Links are
+confirmed on full sets made with another seed, so what happened to agree for the candidates doesn't agree again.
 """
 
 from __future__ import annotations
@@ -17,9 +20,11 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,33 +37,23 @@ REGISTERS = BANDS * PER_BAND
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Shingles are words in runs of this length.
 WORDS = 5
+#: Seeds of the shingles that give candidates and of those that confirm links.
+FIND, CONFIRM = 0, 1
+#: Rows of one key of a join, or documents of one frequent shingle, beyond which they are dealt to several tasks.
+HOT, PIECES = 1000, 32
 #: By how much the estimate may stay below the wanted similarity; the standard error is 0.025 at 300 registers.
 SLACK = 0.2
 
-_MASK = (1 << 64) - 1
-_POINT = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _MULTIPLIERS = (np.random.default_rng(20240229).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash point and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for i, x in enumerate((_POINT, pow(_POINT, -1, 1 << 64))):
-            steps = np.full(size, x, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS, seed: int = FIND) -> np.ndarray:
     """Sorted distinct 64-bit hashes of every ``words`` consecutive words, A-Z lower-cased.
 
     A text of fewer words is one shingle; one without words has none.
@@ -66,15 +61,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, np.uint64)
-    raw = np.frombuffer(b" ".join(found), np.uint8)
-    power, inverse = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(raw))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, found, repeat(seed)), np.uint64, len(found))
     run = min(words, len(found))
-    starts, ends = starts[: len(starts) - run + 1], ends[run - 1 :]
-    return np.unique(_mix((total[ends] - total[starts]) * inverse[starts]))
+    whole = np.full(len(found) - run + 1, run, np.uint64)
+    for i in range(run):
+        whole = _mix(whole * np.uint64(0x9E3779B97F4A7C15) + each[i : i + len(whole)])
+    return np.unique(whole)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -129,7 +121,7 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+        found = [shingles(t, seed=CONFIRM).view(np.int64) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "full"])
 
 
@@ -144,6 +136,22 @@ def _likely(least: float):
     return run
 
 
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``right`` has few rows each; rows of keys that are frequent in ``left`` (which is
+    settled) are dealt to PIECES tasks by a hash of ``by``, and such rows of ``right`` repeated for each.
+
+    Frequent: more than HOT rows and more than a 100,000th of all, so there are at most 100,000 of them.
+    """
+    most = max(HOT, left.count() // 100_000)
+    hot = settle(left.groupBy(key).count().where(F.col("count") > most).select(key, F.lit(True).alias("_hot")))
+    if not hot.head(1):
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)  # at most 100,000 keys
+    left = left.join(hot, key, "left").withColumn("_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(PIECES))).otherwise(0)).drop("_hot")
+    right = right.join(hot, key, "left").withColumn("_piece", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right.withColumn("_piece", F.col("_piece").cast("long")), [key, "_piece"], how).drop("_piece")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, comp: for each end of ``edges`` (a, b) the smallest id that it is connected to.
 
@@ -158,18 +166,18 @@ def components(edges: DataFrame) -> DataFrame:
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         parent = settle(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
         labels = settle(labels.join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
-        edges = edges.join(parent, "a").select(F.col("p").alias("x"), "b").join(parent.withColumnRenamed("a", "b"), "b").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+        edges = dealt_join(edges, parent, "a", "b").select(F.col("p").alias("x"), "b")
+        edges = edges.join(parent.withColumnRenamed("a", "b"), "b").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
         edges = settle(edges.where("a < b").distinct())
     return labels
 
 
-def _early_shingles(docs: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
-    """token, id, n, pos: of each document of ``ids`` the shared shingles that stand early enough to link it.
+def _early_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id, n, pos: of each set (id, full) the shared shingles that stand early enough to link it.
 
-    Shingles are ordered by the number of these documents that have them; pos counts from 1. Those of one document
-    alone come first and need no rows. A linked set shares one of its first n - ceil(percent * n / 100) + 1.
+    Shingles are ordered by the number of these sets that have them; pos counts from 1. Those of one set alone come
+    first and need no rows. A linked set shares one of its first n - ceil(percent * n / 100) + 1.
     """
-    sets = docs.join(small_side(ids), "id", "left_semi").distinct().mapInArrow(_full_sets, "id long, full array<bigint>")
     rows = settle(sets.select("id", F.xxhash64("full").alias("h"), F.size("full").cast("long").alias("n"), F.explode("full").alias("token")))
     held = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("id", "h", "n")
@@ -183,8 +191,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents with 100 * intersection >= percent * union are linked (percent at least 75, which the bands are made
     for). component_id is the smallest doc_id that can be reached, kept whether that is the document itself. Without
     words or text the set is empty and nothing is linked. Rows that repeat a doc_id count as one document with several
-    texts; a row without doc_id isn't linked, has no component_id and is kept. Extra columns are ignored, an empty
-    table gives no rows.
+    texts; a row without doc_id isn't linked, has no component_id and is kept. Texts of any length are taken whole.
+    Extra columns are ignored, an empty table gives no rows. Texts stay where they are read; sketches and the sets of
+    documents that have a candidate are exchanged.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -194,6 +203,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = settle(some.groupBy("print").agg(F.min("id").alias("rep")))
     reps = some.join(first.select("print", F.col("rep").alias("id")), ["print", "id"], "left_semi").select("id", "n", "regs").distinct()
     reps = settle(reps)
+    repeated = bool(some.groupBy("id", "print").count().where("count > 1").head(1))
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """id, full: the sets of documents ``ids``, read where the texts are; rows that repeat one count once."""
+        sets = docs.join(small_side(ids), "id", "left_semi").mapInArrow(_full_sets, "id long, full array<bigint>")
+        return sets.distinct() if repeated else sets
 
     def rows() -> DataFrame:
         return reps.mapInArrow(_band_rows, "key long, id long, n long")
@@ -205,16 +220,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are linked."""
         side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x))
-        maybe = pairs.join(side("a"), "a").join(side("b"), "b").where(near).mapInArrow(_likely(percent / 100 - SLACK), "a long, b long")
+        maybe = settle(dealt_join(settle(pairs), side("a"), "a", "b"))
+        maybe = dealt_join(maybe, side("b"), "b", "a").where(near).mapInArrow(_likely(percent / 100 - SLACK), "a long, b long")
         maybe = settle(maybe.distinct())
-        ends = small_side(settle(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        sets = settle(docs.join(ends, "id", "left_semi").distinct().mapInArrow(_full_sets, "id long, full array<bigint>").distinct())
+        sets = settle(full_sets(settle(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
         side = lambda x: sets.select(F.col("id").alias(x), F.col("full").alias("f" + x))
-        both = maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("long").alias("i"), (F.size("fa") + F.size("fb")).cast("long").alias("t"))
+        both = dealt_join(settle(dealt_join(maybe, side("a"), "a", "b")), side("b"), "b", "a")
+        both = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("long").alias("i"), (F.size("fa") + F.size("fb")).cast("long").alias("t"))
         return settle(both.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct())
 
     star = shared.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("id").alias("b")).where("a <> b")
-    star = settle(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = linked(star)
     labels = components(edges)
 
@@ -224,19 +240,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = settle(named(shared.select("key", "id")))
     several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = settle(mixed.join(several, "key", "left_semi").select("id").distinct())
-    early = settle(_early_shingles(docs, open_, percent))
+    early = settle(_early_shingles(full_sets(open_), percent))
     hub = named(early).groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp"), F.struct("pos", "id")).alias("h")).select("token", *[F.col(f"h.{c}").alias(c + "_h") for c in ("id", "n", "pos", "comp")])
     bound = f"100 * least(n, n_h) >= {percent} * greatest(n, n_h) AND {100 + percent} * (least(n - pos, n_h - pos_h) + 1) >= {percent} * (n + n_h)"
     pair = F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")
-    more = linked(settle(named(early).join(hub, "token").where(f"comp <> comp_h AND {bound}").select(*pair).distinct()))
+    more = linked(named(early).join(hub, "token").where(f"comp <> comp_h AND {bound}").select(*pair).distinct())
     if more.head(1):
         edges = settle(edges.unionByName(more))
         labels = components(edges)
     here = settle(named(early))
     several = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     here = settle(here.join(several, "token", "left_semi"))
-    there = here.select("token", *[F.col(c).alias(c + "_h") for c in ("id", "n", "pos", "comp")])
-    more = linked(settle(here.join(there, "token").where(f"comp < comp_h AND {bound}").select(*pair).distinct()))
+    # documents of one frequent shingle are dealt to g parts by id; each two parts meet once, in a task of their own
+    parts = here.groupBy("token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("g"))
+    here = here.join(parts, "token").withColumns({"p": F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("g") - 1))})
+    cell = [F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2")]
+    here = settle(here.select("token", "id", "n", "pos", "comp", "p", *cell))
+    there = here.select("token", "p1", "p2", F.col("p").alias("p_h"), *[F.col(c).alias(c + "_h") for c in ("id", "n", "pos", "comp")])
+    met = here.join(there, ["token", "p1", "p2"]).where(f"(p1 = p2 OR p <> p_h) AND comp < comp_h AND {bound}")
+    more = linked(met.select(*pair).distinct())
     if more.head(1):
         labels = components(edges.unionByName(more))
     of = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("comp", "rep").alias("comp"))

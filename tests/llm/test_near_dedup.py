@@ -54,6 +54,42 @@ def test_brute_force_over_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Hubs of many copies, a frequent shingle that stands early in texts that aren't linked, repeated rows."""
+    monkeypatch.setattr(nd, "HOT", 4)
+    monkeypatch.setattr(nd, "PIECES", 3)
+    r = random.Random(10)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: r.randint(0, 3)], f"x{i}", *base[5:]])) for i in range(40)]
+    lines = [" ".join(f"l{k}w{j}" for j in range(9)) for k in range(6)]
+    rows += [(100 + i, " ".join(r.sample(lines, 3))) for i in range(40)]
+    rows += [(200, rows[0][1]), (200, rows[0][1]), (200, rows[0][1])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_different_words_of_a_regular_form_are_not_linked(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    one, other = "a", "b"
+    for _ in range(12):
+        one, other = one + other, other + one
+    rows = [(1, one), (2, other), (3, one)]
+    assert run(spark, rows) == brute(rows) == sorted([(1, 1, 1, True), (2, 1, 2, True), (3, 1, 1, False)], key=str)
+
+
+def test_planted_pairs_are_found(spark):
+    """Pairs of similarity just at and above 0.75: at least 0.9 of them; here all."""
+    rows, n = [], 0
+    for i in range(150):
+        size = 40 + i
+        base = [f"p{i}w{j}" for j in range(size)]
+        cut = (size - 4) // 7
+        rows += [(n, " ".join(base)), (n + 1, " ".join(base[cut:] + [f"p{i}v{j}" for j in range(cut)]))]
+        n += 2
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert sum(not kept for *_, kept in got) >= 0.9 * sum(not kept for *_, kept in brute(rows)) > 50
+
+
 def test_a_chain_of_copies_is_one_component(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i * 8 : i * 8 + 100])) for i in range(30)]
