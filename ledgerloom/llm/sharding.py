@@ -12,10 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settle
+from ledgerloom.llm.common import settle, small_side
 
 #: Bits of the key, and bits by which a pass narrows an interval.
 KEY_BITS, STEP = 60, 10
+#: Parts by doc_id that the rows of one frequent text are cut into, and bytes of text that a task of the exchange takes.
+PARTS, TASK_BYTES = 1024, 64 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -45,7 +47,7 @@ def _cut_group(rows: DataFrame, key: int, wanted: list[int], before: int) -> lis
             hit = F.col("d").between(a, b)
             item = F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), bin_.alias("bin"))
             cases = F.when(hit, item) if cases is None else cases.when(hit, item)
-        hist = rows.select(cases.alias("c"), "size").where("c IS NOT NULL").groupBy("c").agg(F.sum("size").alias("size"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
+        hist = rows.select(cases.alias("c"), "d", "size").where("c IS NOT NULL").groupBy("c").agg(F.sum("size").alias("size"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
         by: dict = {}
         for r in sorted(hist, key=lambda r: (r.c.a, r.c.bin)):
             by.setdefault((r.c.a, r.c.b), []).append(r)
@@ -117,40 +119,34 @@ def histogram_shards(docs: DataFrame, shards: int = 8, text: str = "text", doc_i
     rows. Columns of ``docs`` named size, shard or slot are replaced.
 
     The exchange goes by runs: ranges of the sorted order of about ``rows_per_run`` rows, so that no task holds
-    a shard; the rows of one frequent text are cut into runs by doc_id.
+    a shard; the rows of every more frequent text are cut into up to PARTS runs at quantiles of doc_id.
     """
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     keyed = docs.drop("size", "shard", "slot").withColumns({"size": size, "_k": text_key(F.col(text)), "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))})
     rows = settle(keyed.select(F.col("_k").alias("k"), F.col("_d").alias("d"), "size"))
     cuts = splitters(rows, shards)
-
-    def shard(k: str, d: str) -> Column:
-        above = [F.col(k) > c.key if c.doc is None else (F.col(k) > c.key) | ((F.col(k) == c.key) & (F.col(d) >= c.doc)) for c in cuts]
-        return sum((a.cast("int") for a in above), F.lit(0))
-
-    n = rows.count()
-    most = max(rows_per_run, n // 4096)
-    shift = KEY_BITS - min(14, max(3, (n // most).bit_length()))
-    run = {"_shard": shard("_k", "_d"), "_run": F.shiftright("_k", shift)}
-    slim = rows.select(F.col("k").alias("_k"), F.col("d").alias("_d")).withColumns(run)
-    coarse = slim.groupBy("_shard", "_run").count().collect()  # at most 2^14 + shards rows
-    part = F.lit(0)
-    for r in (r for r in coarse if r["count"] > 4 * most):  # a frequent text: cut its rows by doc id
-        inside = slim.where((F.col("_shard") == r._shard) & (F.col("_run") == r._run)).groupBy("_k").agg(F.count("*").alias("n"), F.min("_d").alias("lo"), F.max("_d").alias("hi"))
-        top = inside.orderBy(F.desc("n"), "_k").first()
-        pieces = -(-top.n // most)
-        width = max(1, -(-(top.hi - top.lo + 1) // pieces))
-        cut = F.when(F.col("_k") < top._k, 0).when(F.col("_k") > top._k, pieces + 2).otherwise(F.expr(f"cast(1 + (cast(_d AS decimal(20,0)) - {top.lo}) div {width} AS int)"))
-        part = F.when((F.col("_shard") == r._shard) & (F.col("_run") == r._run), cut).otherwise(part)
-    run["_part"] = part
-    by_run = ["_shard", "_run", "_part"]
-    counts = slim.withColumn("_part", part).groupBy(by_run).count().collect()
-    starts, at = [], {}
-    for r in sorted(counts):
-        starts.append((r._shard, r._run, r._part, at.get(r._shard, 0)))
-        at[r._shard] = at.get(r._shard, 0) + r["count"]
-    starts = F.broadcast(docs.sparkSession.createDataFrame(starts, "_shard int, _run long, _part int, _start long"))  # as many rows as runs
+    n, whole = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    shift = KEY_BITS - min(40, max(3, (n // rows_per_run).bit_length()))
+
+    above = [F.col("_k") > c.key if c.doc is None else (F.col("_k") > c.key) | ((F.col("_k") == c.key) & (F.col("_d") >= c.doc)) for c in cuts]
+    shard = sum((a.cast("int") for a in above), F.lit(0))
+    frequent = settle(rows.groupBy("k").count().where(F.col("count") > rows_per_run).select("k"))  # at most n / rows_per_run
+    hot = rows.join(small_side(frequent), "k", "left_semi").groupBy("k").agg(F.percentile_approx("d", [i / PARTS for i in range(1, PARTS)]).alias("cuts"))
+    hot = small_side(settle(hot.groupBy(F.shiftright("k", shift).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("k", "cuts"))).alias("_hot"))), 2000)
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With _shard, _run, _zone (an odd one is a frequent text) and _part, by which rows are sorted; then by key and doc_id."""
+        df = df.withColumns({"_shard": shard, "_run": F.shiftright("_k", shift)}).join(hot, "_run", "left")
+        zone = F.expr("coalesce(2 * size(filter(_hot, h -> h.k < _k)) + int(exists(_hot, h -> h.k = _k)), 0)")
+        part = F.expr("coalesce(size(filter(filter(_hot, h -> h.k = _k)[0].cuts, c -> c <= _d)), 0)")
+        return df.withColumns({"_zone": F.when(F.col("_hot").isNull(), 0).otherwise(zone), "_part": F.when(F.col("_hot").isNull() | (F.expr("size(filter(_hot, h -> h.k = _k))") == 0), 0).otherwise(part)}).drop("_hot")
+
+    by_run = ["_shard", "_run", "_zone", "_part"]
+    counts = settle(placed(rows.select(F.col("k").alias("_k"), F.col("d").alias("_d"))).groupBy(by_run).count())
+    upto = Window.partitionBy("_shard").orderBy("_run", "_zone", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = small_side(settle(counts.select(*by_run, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_start"))))  # as many rows as runs
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole // TASK_BYTES))
     ordered = Window.partitionBy(by_run).orderBy("_k", "_d")
-    out = keyed.withColumns(run).withColumn("_row", F.row_number().over(ordered)).join(starts, by_run)
+    out = placed(keyed).repartition(tasks, *by_run).withColumn("_row", F.row_number().over(ordered)).join(starts, by_run)
     out = out.withColumns({"shard": F.col("_shard"), "slot": (F.col("_start") + F.col("_row") - 1).cast("long")})
     return out.drop("_k", "_d", "_row", "_start", *by_run)

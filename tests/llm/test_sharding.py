@@ -43,6 +43,18 @@ def test_brute_force_with_a_frequent_text(spark):
     assert run(spark, rows, rows_per_run=20) == brute(rows)
 
 
+def test_several_frequent_texts(spark, monkeypatch):
+    """Two in one run, one over several borders, ids far apart; each is cut."""
+    monkeypatch.setattr(sharding, "PARTS", 8)
+    r = random.Random(6)
+    rows = [(r.randrange(10**6), f"t{i}") for i in range(100)] + [(r.randrange(100), "often") for _ in range(300)] + [(10**15, "often")]
+    rows += [(r.randrange(-(10**9), 10**9), "as often") for _ in range(300)] + [(i, "most of all, by far " * 3) for i in range(900)]
+    rows = list({(d, t) for d, t in rows})
+    assert run(spark, rows, rows_per_run=25) == brute(rows)
+    assert run(spark, rows, rows_per_run=250) == brute(rows)
+    assert len({s for _, t, s, _ in run(spark, rows) if t.startswith("most")}) > 2
+
+
 def test_small_groups_stay_together_and_sizes_are_near(spark):
     rows = [(i, f"text {i // 2} " + "w" * 50) for i in range(4000)]
     got = run(spark, rows)
