@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from ledgerloom.llm import maxscore
 
 
@@ -33,6 +36,26 @@ def test_large_components_stay_exact(spark):
     assert run(spark, rows) == brute(rows, 5, 5)
 
 
+def test_components_beyond_two_to_the_27_after_scaling(spark):
+    rows = [(0, [1e6, 0.0]), (1, [1.0, 1.0]), (2, [1e6, -3.0]), (3, [2.0**24, 1.0]), (4, [0.5, -(2.0**30)])]
+    assert run(spark, rows) == brute(rows, 5, 5)
+    big = [(0, [2.0**22] * 3), (1, [2.0**21] * 3), (2, [-(2.0**22)] * 3)]  # partial sums of Python's integers
+    assert run(spark, big) == brute(big, 5, 5)
+    for bad in ([(0, [1e300]), (1, [1.0])], [(0, [2.0**40] * 2), (1, [2.0**40] * 2)]):
+        with pytest.raises(Exception, match="too large|OverflowError"):
+            run(spark, bad)
+
+
+def test_a_shard_by_plain_products():
+    r = np.random.default_rng(4)
+    for n, d, k in ((1, 3, 5), (7, 20, 5), (500, 33, 5), (2000, 64, 1)):
+        x, ids = r.integers(-200, 300, (n, d)), r.permutation(n) * 3
+        q, q_ids = r.integers(-200, 300, (20, d)), np.arange(20)
+        got = maxscore.best_of_shard(q, q_ids, x, ids, k)
+        want = [(int(i), v, s) for i, row in zip(q_ids, q, strict=True) for s, v in sorted(((int(a @ row), int(j)) for a, j in zip(x, ids, strict=True) if j != i), key=lambda t: (-t[0], t[1]))[:k]]
+        assert got == want
+
+
 def test_few_candidates_and_empty_table(spark):
     assert run(spark, [(0, [1.0]), (1, [-1.0])]) == [(0, 1, 1, -65536)]
     assert run(spark, [(0, [1.0])]) == []
