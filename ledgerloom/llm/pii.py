@@ -17,10 +17,11 @@ _GROUPS = lambda n: "(?: ?[A-Z0-9]{4}){%d}" % (n // 4 - 1) + (" ?[A-Z0-9]{%d}" %
 _IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}{_GROUPS(n)}" for n, c in IBAN_LENGTHS.items())
 #: Country codes of phones that are written without a separator.
 _CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
-#: One pattern for each kind; a match is validated before it is changed. An e-mail name begins where a run of letters
-#: and digits does, or right after a match.
+#: One pattern for each kind; a match is validated before it is changed. An e-mail name begins where a run of its
+#: characters does, or right after a match, and is never given back, so a long run is looked at once. A host has at most
+#: 127 labels, as in DNS.
 PATTERNS = {
-    "email": r"(?:(?<![\p{L}\p{M}\p{N}])|\G)[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?:(?<![\p{L}\p{M}\p{N}._%+-])|\G)[._%+-]*+[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]{1,63}+){0,126}\.[A-Za-z]{2,}",
     "phone": _LEFT + r"(?:\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}(?!\.[0-9])|[0-9]{3} [0-9]{3} [0-9]{4}(?![ -][0-9])|\+[0-9]{7,15})" + _RIGHT,
     "date": _LEFT + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})" + _RIGHT,
     "ssn": _LEFT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _RIGHT,
@@ -28,6 +29,8 @@ PATTERNS = {
     "iban": _LEFT + r"(?=[A-Z]{2}[0-9]{2})(?:" + _IBAN + ")" + _RIGHT,
     "card": _LEFT + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})" + _RIGHT,
 }
+#: Characters of the longest e-mail address (RFC 5321 allows 254 octets); what is longer is none and stays.
+LONGEST_ADDRESS = 254
 #: Rounds of the Feistel network.
 ROUNDS = 8
 #: Dates are permuted among the days from FIRST_DAY on, DAYS of them (1900-01-01 to 2099-12-31).
@@ -143,7 +146,8 @@ def _email(key: str) -> str:
     moved = _let(block, "a", f"IF(array_position(a, x) = 0, x, element_at(a, cast((array_position(a, x) - 1 + {shift}) % size(a) + 1 AS int)))")
     wide = f"array_join(transform(sequence(1, length(o)), j -> {_let('substr(o, j, 1)', 'x', f'IF(ascii(x) < 128, x, {moved})')}), '')"
     both = f"IF(n RLIKE '[^ -~]', {_let(both, 'o', wide)}, {both})"
-    return _let("lower(substring_index(m, '@', 1))", "n", f"concat({both}, '@', substring_index(m, '@', -1))")
+    fresh = _let("lower(substring_index(m, '@', 1))", "n", f"concat({both}, '@', substring_index(m, '@', -1))")
+    return f"IF(length(m) > {LONGEST_ADDRESS}, m, {fresh})"
 
 
 def _long_digits_guard(expression: str) -> str:
@@ -154,8 +158,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text
     """All rows and columns of ``docs`` with ``out``: the text with pseudonyms, and ``spans``: what was changed.
 
     ``spans``: array of (kind, start from 1, length) in characters of the given text, in order. Values that fail their
-    check (Luhn sum, octets, calendar, ranges) stay. E-mail names come out in lower case. A null text stays null with
-    no spans; columns of the names ``out`` and ``spans`` are replaced.
+    check (Luhn sum, octets, calendar, ranges, an address of at most 254 characters) stay. E-mail names come out in lower
+    case. A null text stays null with no spans; columns of the names ``out`` and ``spans`` are replaced. Rows are
+    handled one by one: repeated rows get equal results, an empty table gives no rows, texts of any length are read whole.
+    The key stands in the query's plan, so plans and event logs are as secret as the key.
     """
     if "'" in key or "\\" in key:
         raise ValueError("the key may not hold quotes or backslashes")

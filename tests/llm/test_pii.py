@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+import time
 from datetime import date, timedelta
 
 from ledgerloom.llm import pii
@@ -85,3 +87,63 @@ def test_what_isnt_of_a_further_form(spark):
     assert "DE12 " in new and "4111 1111 1111 1111" not in new and len(spans) == 2
     days = [f"{m:02}/{d:02}/1990" for m in range(1, 13) for d in range(1, 29)]
     assert len({n for n, _ in run(spark, days)}) == len(days)
+
+
+def feistel(left, right, left_size, right_size, tweak, key):
+    """The network of the module's docstring in plain Python."""
+    for i in range(1, pii.ROUNDS + 1):
+        digest = lambda half: int(hashlib.sha256(f"{key}|{tweak}|{i}|{half}".encode()).hexdigest()[:13], 16)  # noqa: B023, E731
+        if i % 2:
+            left = (left + digest(right)) % left_size
+        else:
+            right = (right + digest(left)) % right_size
+    return left, right
+
+
+def brute_digits(d, kind, key):
+    half = len(d) // 2
+    a, b = feistel(int(d[:half]), int(d[half:]), 10**half, 10 ** (len(d) - half), f"{kind}{len(d)}", key)
+    return f"{a:0{half}}{b:0{len(d) - half}}"
+
+
+def test_against_a_plain_network(spark):
+    r = random.Random(12)
+    ips = [[r.randrange(256) for _ in range(4)] for _ in range(20)]
+    ssns = [f"{r.randrange(100, 600)}{r.randrange(1, 100):02}{r.randrange(1, 10000):04}" for _ in range(20)]
+    days = [date(1900, 1, 1) + timedelta(days=r.randrange(pii.DAYS)) for _ in range(20)]
+    want = []
+    for a, b, c, d in ips:
+        x, y = feistel(a * 256 + b, c * 256 + d, 65536, 65536, "ip", "k")
+        want.append(f"{x // 256}.{x % 256}.{y // 256}.{y % 256}")
+    for s in ssns:
+        n = brute_digits(s, "ssn", "k")
+        want.append(f"{n[:3]}-{n[3:5]}-{n[5:]}")
+    for day in days:
+        n = (day - date(1900, 1, 1)).days
+        while True:
+            a, b = feistel(n // 512, n % 512, 512, 512, "date", "k")
+            n = a * 512 + b
+            if n < pii.DAYS:
+                break
+        want.append((date(1900, 1, 1) + timedelta(days=n)).isoformat())
+    given = [".".join(map(str, i)) for i in ips] + [f"{s[:3]}-{s[3:5]}-{s[5:]}" for s in ssns] + [d.isoformat() for d in days]
+    assert [n for n, _ in run(spark, given)] == want
+
+
+def test_long_runs_and_hosts_end_soon(spark):
+    """None of these is an address; each is looked at once and stays."""
+    texts = ["a@" + "b." * 20_000 + "com", "x" * 1_000_000, "a.b-c_" * 150_000, "a" * 300 + "@x.org", "@" * 100_000, "9" * 500_000, ". " * 200_000]
+    began = time.time()
+    assert run(spark, texts) == [(t, []) for t in texts]
+    assert time.time() - began < 60
+
+
+def test_addresses_after_other_characters(spark):
+    for text in ("...john@x.org", "to:-john@x.org", "a@b.com,john@x.org;"):
+        new, spans = run(spark, [text])[0]
+        assert "john" not in new and new.endswith(("@x.org", "@x.org;")) and spans
+
+
+def test_repeated_rows_get_equal_results(spark):
+    docs = spark.createDataFrame([(1, "call 212-555-0123")] * 3, "doc_id long, text string")
+    assert len({r.text for r in pii.pseudonymise(docs, "k").collect()}) == 1
