@@ -61,6 +61,25 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of scores ``z`` and the direction (by score) of the next step.
+
+    Logistic losses: of label +1 log(1 + e^-z), of label -1 log(1 + e^z). While the part for negatives is not below zero
+    the direction is the gradient of the unclipped risk, else that of minus this part.
+    """
+    p, n_p, n_u = _logistic(z), is_p.sum(), (~is_p).sum()
+    plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+    rest = minus[~is_p].mean() - prior * minus[is_p].mean()
+    g = np.zeros(len(z))
+    if rest >= 0:
+        g[is_p] = prior * (p[is_p] - 1) / n_p - prior * p[is_p] / n_p
+        g[~is_p] = p[~is_p] / n_u
+    else:
+        g[is_p] = prior * p[is_p] / n_p
+        g[~is_p] = -p[~is_p] / n_u
+    return float(prior * plus[is_p].mean() + max(0.0, rest)), g
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Fit the classifier on features of texts by full-batch steps (Adam) on the non-negative risk.
 
@@ -93,17 +112,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, epochs + 1):
         z = b + np.bincount(rows, w[cols], n)
-        p = _logistic(z)
-        # logistic losses: of label +1 log(1 + e^-z), of label -1 log(1 + e^z)
-        minus = np.logaddexp(0, z)
-        rest = minus[~is_p].mean() - prior * minus[is_p].mean()
-        g = np.zeros(n)
-        if rest >= 0:
-            g[is_p] = prior * (p[is_p] - 1) / is_p.sum() - prior * p[is_p] / is_p.sum()
-            g[~is_p] = p[~is_p] / (~is_p).sum()
-        else:
-            g[is_p] = prior * p[is_p] / is_p.sum()
-            g[~is_p] = -p[~is_p] / (~is_p).sum()
+        _, g = risk(z, is_p, prior)
         grad = np.append(np.bincount(cols, g[rows], len(chosen)) + ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -123,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most POSITIVES confirmed toxic texts and UNLABELLED of all ``docs``, taken in the order of a hash.
 
     ``labels``: doc_id, toxic (1: confirmed). The class prior is the share of toxic
-    rows among ``labels`` with a value. Repeated or contradicting labels of a document count as toxic if any is.
+    rows among ``labels`` with a value. Repeated or contradicting labels of a document count as toxic if any is; of a
+    repeated doc_id one text is taken. Rows without doc_id take no part. Texts are read whole.
     """
     text_batches(docs.sparkSession)
     marks = labels.where(f"{doc_id} IS NOT NULL AND {toxic} IS NOT NULL").groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
@@ -133,13 +143,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # unlabelled texts are drawn from all documents, so that they hold toxic ones at the class prior
     picked = ids.where("toxic").orderBy(*order).limit(POSITIVES).unionByName(ids.orderBy(*order).limit(UNLABELLED).withColumn("toxic", F.lit(False)))
     picked = F.broadcast(settle(picked))  # at most POSITIVES + UNLABELLED rows
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id").select("toxic", "text").mapInArrow(_featured, "toxic boolean, found binary").collect()
+    # one text of a doc_id that is repeated, so that the bounds hold
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(picked, "id").groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = texts.select("toxic", "text").mapInArrow(_featured, "toxic boolean, found binary").collect()
     side = lambda t: [np.frombuffer(r.found, np.int32) for r in found if r.toxic == t]
     return train(side(True), side(False), prior or 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` with ``out``: the score of each whole text; null counts as empty."""
+    """All rows and columns of ``docs`` with ``out``: the score of each whole text; null counts as empty.
+
+    Rows are scored one by one, so repeated rows get equal scores; an empty table gives no rows.
+    """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     docs = docs.drop(out)
