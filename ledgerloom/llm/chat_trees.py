@@ -30,9 +30,9 @@ def _escape_role(role: Column) -> Column:
 
 
 def _unescape_role(role: Column) -> Column:
-    mark = F.lit("\x00")
-    twice = F.replace(F.replace(role, F.lit("\x00"), F.lit("\\0")), F.lit("\\\\"), mark)
-    return unescape(F.replace(F.replace(F.replace(twice, F.lit("\\n"), F.lit("\n")), mark, F.lit("\\")), F.lit("\\0"), F.lit("\x00")))
+    """Pairs of backslashes are read from the left, so a line end's backslash is never taken for half of a pair."""
+    parts = F.transform(F.split(role, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return unescape(F.array_join(parts, "\\"))
 
 
 def reply_paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:

@@ -32,6 +32,21 @@ def test_escapes_round_trip(spark):
     assert all(learn == (r == "assistant") for r, _, learn, _ in got)
 
 
+def test_any_role_reads_back(spark):
+    roles = ["\\0", "\x00", "\\", "\\\\n", "\\\n", "n\\", "\\n\\\\", "<|im_end|>\\n\n", ""]
+    rows = [(1, i + 1, i or None, role, "t", None) for i, role in enumerate(roles)]
+    assert [r for r, *_ in paths(spark, rows)[(1, 1)]] == roles
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "<|im_end|> long " * 60_000, 0.0)]
+    nodes = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "9 AS depth", "8 AS tree", "7 AS leaf", "6 AS path_rank", "5 AS formatted", "4 AS loss", "3 AS far")
+    out = c.format_trees(nodes)
+    assert out.columns == ["conv", "path_rank", "formatted", "loss"]
+    turns = sorted(c.read_back(out).collect(), key=lambda r: r.depth)
+    assert [r.text for r in turns] == [r[4] for r in rows] and turns[1].learned == rows[1][4]
+
+
 def test_deep_thread_and_empty_table(spark):
     n = 700
     rows = [(5, i, i - 1 if i > 1 else None, "user" if i % 2 else "assistant", f"t{i}", None) for i in range(1, n + 1)]
