@@ -65,8 +65,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.example_findings(spark))
-    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    lang = secrets.language(docs)
+    out = secrets.scan(docs, secrets.train(secrets.example_findings(spark), lang), lang)
     return out.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "secret")
 
 
