@@ -136,20 +136,25 @@ def _likely(least: float):
     return run
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """Join on ``key``, of which ``right`` has few rows each; rows of keys that are frequent in ``left`` (which is
-    settled) are dealt to PIECES tasks by a hash of ``by``, and such rows of ``right`` repeated for each.
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """Join on ``key``, of which ``right`` has few rows each; rows of keys that are frequent in ``left`` are dealt to
+    PIECES tasks by a hash of ``by``, and such rows of ``right`` repeated for each.
 
-    Frequent: more than HOT rows and more than a 100,000th of all, so there are at most 100,000 of them.
+    ``counted`` is ``left`` or a settled table with at least its rows. Frequent: more than HOT rows and more than a
+    100,000th of all, so there are at most 100,000 of them.
     """
-    most = max(HOT, left.count() // 100_000)
-    hot = settle(left.groupBy(key).count().where(F.col("count") > most).select(key, F.lit(True).alias("_hot")))
+    counted = left if counted is None else counted
+    n = counted.count()
+    most = max(HOT, n // 100_000)
+    if n <= most:
+        return left.join(right, key)
+    hot = settle(counted.groupBy(key).count().where(F.col("count") > most).select(key, F.lit(True).alias("_hot")))
     if not hot.head(1):
-        return left.join(right, key, how)
+        return left.join(right, key)
     hot = F.broadcast(hot)  # at most 100,000 keys
     left = left.join(hot, key, "left").withColumn("_piece", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(PIECES))).otherwise(0)).drop("_hot")
     right = right.join(hot, key, "left").withColumn("_piece", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PIECES - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right.withColumn("_piece", F.col("_piece").cast("long")), [key, "_piece"], how).drop("_piece")
+    return left.join(right.withColumn("_piece", F.col("_piece").cast("long")), [key, "_piece"]).drop("_piece")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,12 +225,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are linked."""
         side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("regs").alias("r" + x))
-        maybe = settle(dealt_join(settle(pairs), side("a"), "a", "b"))
-        maybe = dealt_join(maybe, side("b"), "b", "a").where(near).mapInArrow(_likely(percent / 100 - SLACK), "a long, b long")
+        pairs = settle(pairs)
+        maybe = dealt_join(dealt_join(pairs, side("a"), "a", "b"), side("b"), "b", "a", pairs).where(near).mapInArrow(_likely(percent / 100 - SLACK), "a long, b long")
         maybe = settle(maybe.distinct())
         sets = settle(full_sets(settle(maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
         side = lambda x: sets.select(F.col("id").alias(x), F.col("full").alias("f" + x))
-        both = dealt_join(settle(dealt_join(maybe, side("a"), "a", "b")), side("b"), "b", "a")
+        both = dealt_join(dealt_join(maybe, side("a"), "a", "b"), side("b"), "b", "a", maybe)
         both = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).cast("long").alias("i"), (F.size("fa") + F.size("fb")).cast("long").alias("t"))
         return settle(both.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct())
 
