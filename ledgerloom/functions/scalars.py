@@ -9,8 +9,10 @@ MONEY = "decimal(18,2)"
 #: Digits of the two other alphabets with their separators, and what they stand for.
 OTHER_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬،", "01234567890123456789.,,"
 DIACRITICS = "[ً-ْٰـ]"
-#: Letters that are searched as one.
-FOLD_FROM, FOLD_TO = "أإآٱىةؤئ", "ااااىهوي".replace("ى", "ي")
+#: Letters of the Arabic script that are searched as one, by code point (Unicode block Arabic): alef with
+#: madda, hamza above, waw with hamza, alef with hamza below, yeh with hamza, teh marbuta, alef maksura, alef wasla.
+FOLD_FROM = "آأؤإئةىٱ"
+FOLD_TO = "ااوايهيا"
 
 
 def ascii_digits(text: Column) -> Column:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import one_digit_apart
+
 MONEY = "decimal(18,2)"
 PARTS = ("debits", "credits", "balance")
 
@@ -111,18 +113,21 @@ def order_conflicts(footers: DataFrame, position: str = "page") -> DataFrame:
 
 
 def _longest_run(ranks: list[int]) -> list[bool]:
-    """Which places belong to one longest increasing run (the one that ends earliest, then smallest)."""
-    from bisect import bisect_left
-
-    tops, at, back = [], [], [-1] * len(ranks)
-    for i, r in enumerate(ranks):
-        k = bisect_left(tops, r)
-        tops[k : k + 1], at[k : k + 1] = [r], [i]
-        back[i] = at[k - 1] if k else -1
-    keep, i = [False] * len(ranks), at[-1] if at else -1
-    while i >= 0:
-        keep[i], i = True, back[i]
-    return keep
+    """Which places belong to one longest increasing run."""
+    best: list[tuple[int, int]] = []  # by place: length of the longest run that ends here, place before it
+    ends: dict[int, int] = {}  # by length: the place of the smallest rank that ends such a run
+    for place, rank in enumerate(ranks):
+        low, high = 0, len(ends)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if ranks[ends[middle]] < rank else (low, middle - 1)
+        best.append((low + 1, ends.get(low, -1)))
+        ends[low + 1] = place
+    keep, place = set(), ends.get(len(ends), -1)
+    while place >= 0:
+        keep.add(place)
+        place = best[place][1]
+    return [i in keep for i in range(len(ranks))]
 
 
 def fewest_moved(ranked: DataFrame, position: str = "page") -> DataFrame:
@@ -141,27 +146,21 @@ def fewest_moved(ranked: DataFrame, position: str = "page") -> DataFrame:
 def repair_balances(chained: DataFrame, rounds: int = 3) -> DataFrame:
     """statement, seq, balance, repaired: balances that are one digit off.
 
-    A suspect row's balance becomes the one that its movement gives if that differs by one character and the next row
-    then closes. Up to ``rounds`` passes in order, in which later rows see earlier repairs; per statement.
+    A suspect row's balance becomes the one that its movement leads to, if that differs by one character and the next
+    row closes with it. After a repair the next row is no longer suspect, so of consecutive rows that could be repaired
+    every second one is, beginning with the first. ``rounds`` passes, each over the balances of the one before; all of
+    them are windows over one order of each statement.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        b, m = pdf["balance"].tolist(), pdf["movement"].tolist()
-        fixed = [False] * len(b)
-        for _ in range(rounds):
-            changed = False
-            for i in range(1, len(b)):
-                if None in (b[i - 1], b[i], m[i]) or abs(b[i] - b[i - 1]) == m[i]:
-                    continue
-                for x in (b[i - 1] + m[i], b[i - 1] - m[i]):
-                    near = len(str(x)) == len(str(b[i])) and sum(p != q for p, q in zip(str(x), str(b[i]), strict=True)) == 1
-                    closes = i + 1 < len(b) and None not in (b[i + 1], m[i + 1]) and abs(b[i + 1] - x) == m[i + 1]
-                    if near and closes:
-                        b[i], fixed[i], changed = x, True, True
-                        break
-            if not changed:
-                break
-        return pd.DataFrame({"statement": pdf["statement"], "seq": pdf["seq"], "balance": b, "repaired": fixed})
-
-    return chained.select("statement", "seq", "movement", "balance").groupBy("statement").applyInPandas(run, "statement long, seq int, balance decimal(18,2), repaired boolean")
+    order = Window.partitionBy("statement").orderBy("seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = chained.select("statement", "seq", "movement", "balance", F.lit(False).alias("repaired"))
+    for _ in range(rounds):
+        rows = rows.withColumns({"_above": F.lag("balance").over(order), "_below": F.lead("balance").over(order), "_next": F.lead("movement").over(order), "_n": F.row_number().over(order)})
+        suspect = F.abs(F.col("balance") - F.col("_above")) != F.col("movement")
+        fits = lambda x: one_digit_apart(x.cast("string"), F.col("balance").cast("string")) & (F.abs(F.col("_below") - x) == F.col("_next"))
+        led = [(F.col("_above") + sign * F.col("movement")).cast(MONEY) for sign in (1, -1)]
+        rows = rows.withColumn("_fresh", F.when(suspect, F.coalesce(*[F.when(fits(x), x) for x in led])))
+        place = F.col("_n") - F.coalesce(F.last(F.when(F.col("_fresh").isNull(), F.col("_n")), ignorenulls=True).over(upto), F.lit(0))
+        rows = rows.withColumn("_take", F.col("_fresh").isNotNull() & (place % 2 == 1))
+        rows = rows.select("statement", "seq", "movement", F.when(F.col("_take"), F.col("_fresh")).otherwise(F.col("balance")).alias("balance"), (F.col("repaired") | F.col("_take")).alias("repaired"))
+    return rows.select("statement", "seq", "balance", "repaired")

@@ -5,10 +5,13 @@ Each answer names what it had to leave out: rows without amount, rows without da
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import iso_date, side_of_label
+from ledgerloom.functions.scalars import iso_date, side_of_label, transaction_kind
+from ledgerloom.functions.texts import amount_argument
 
 MONEY = "decimal(18,2)"
 
@@ -18,19 +21,30 @@ def movements(chained: DataFrame) -> DataFrame:
     return chained.where("NOT opening").withColumn("iso", iso_date(F.col("date")))
 
 
-def select(rows: DataFrame, side: str = "all", keyword: str | None = None, amount: str | None = None, page: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Movements that meet all conditions; an unknown side or a reversed range is an error, undated rows meet no range."""
+def select(rows: DataFrame, side: str = "all", keyword: str | None = None, kind: str | None = None, amount: str | None = None, page: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Movements that meet all conditions; an unknown side, a date that is none or a reversed range is an error.
+
+    Undated rows meet no range. ``kind`` is part of a kind's name; an ``amount`` that can't be read filters nothing.
+    """
     known = {"all": None, "debit": "debit", "credit": "credit", "out": "debit", "in": "credit"}
     if side not in known:
         raise ValueError(f"no such side: {side}")
+    for day in (since, until):
+        try:
+            _ = day and date.fromisoformat(day)
+        except ValueError:
+            raise ValueError(f"no such date: {day}") from None
     if since and until and since > until:
         raise ValueError("the range ends before it begins")
     if known[side]:
         rows = rows.where(F.col("side") == known[side])
     if keyword:
         rows = rows.where(F.lower("description").contains(keyword.lower()))
+    if kind:
+        rows = rows.where(transaction_kind(F.col("description"), F.col("side")).contains(kind.lower()))
     if amount is not None:
-        rows = rows.where(F.col("derived") == F.lit(amount).cast(MONEY))
+        wanted = amount_argument(F.lit(amount))
+        rows = rows.where(wanted.isNull() | (F.col("derived") == wanted))
     if page is not None:
         rows = rows.where(F.col("page") == page)
     if since:
@@ -114,8 +128,9 @@ def group_by_date(rows: DataFrame) -> DataFrame:
 def movement_days(rows: DataFrame) -> DataFrame:
     """statement, active days, movements, weeks, and movements and amount a week, half-even to two decimals."""
     out = rows.where("iso IS NOT NULL").groupBy("statement").agg(F.count_distinct("iso").alias("active_days"), F.count("*").alias("n"), _total(F.lit(True)).alias("total"), (F.datediff(F.max("iso"), F.min("iso")) + 1).alias("days"))
-    weeks = F.round(F.col("days") / 7.0, 2)
-    return out.select("statement", "active_days", "n", "total", weeks.alias("weeks"), F.round(F.col("n") / weeks, 2).alias("per_week"), F.round(F.col("total").cast("double") / weeks, 2).alias("amount_per_week"))
+    weeks = F.bround(F.col("days").cast("decimal(18,0)") / 7, 2).cast("decimal(18,2)")
+    rate = lambda c: F.bround(F.col(c).cast("decimal(18,2)") / weeks, 2).cast("decimal(18,2)")
+    return out.select("statement", "active_days", "n", "total", weeks.alias("weeks"), rate("n").alias("per_week"), rate("total").alias("amount_per_week"))
 
 
 def label_side(label: Column) -> Column:

@@ -140,8 +140,9 @@ def group_by_date(spark, d):
     return tools.group_by_date(moved(spark, d))
 
 
-@query(with_base(""", m AS (SELECT statement, count(DISTINCT iso) AS active_days, count(*) AS n, coalesce(sum(derived), 0)::DECIMAL(18,2) AS total, round((date_diff('day', min(iso)::DATE, max(iso)::DATE) + 1) / 7.0::DOUBLE, 2) AS weeks FROM mv WHERE iso IS NOT NULL GROUP BY statement)
- SELECT statement, active_days, n, total, weeks, round(n / weeks, 2) AS per_week, round(total::DOUBLE / weeks, 2) AS amount_per_week FROM m"""))
+@query(with_base(""", m AS (SELECT statement, count(DISTINCT iso) AS active_days, count(*) AS n, coalesce(sum(derived), 0)::DECIMAL(18,2) AS total, ((date_diff('day', min(iso)::DATE, max(iso)::DATE) + 1) * 200 + 7) // 14 AS w FROM mv WHERE iso IS NOT NULL GROUP BY statement),
+ h AS (SELECT *, n * 10000 AS a, (total * 100)::BIGINT * 100 AS b FROM m)
+ SELECT statement, active_days, n, total, (w * 0.01::DECIMAL(3,2))::DECIMAL(18,2) AS weeks, ((a // w + CASE WHEN 2 * (a % w) > w OR 2 * (a % w) = w AND (a // w) % 2 = 1 THEN 1 ELSE 0 END) * 0.01::DECIMAL(3,2))::DECIMAL(18,2) AS per_week, ((b // w + CASE WHEN 2 * (b % w) > w OR 2 * (b % w) = w AND (b // w) % 2 = 1 THEN 1 ELSE 0 END) * 0.01::DECIMAL(3,2))::DECIMAL(18,2) AS amount_per_week FROM h"""))
 def movement_days(spark, d):
     return tools.movement_days(moved(spark, d))
 
@@ -253,7 +254,11 @@ def footer_order_lis(spark, d):
     return footers.fewest_moved(footers.order_conflicts(shuffled(spark, d), "pos"), "pos")
 
 
-@query()
+#: One round of repairs in DuckDB, from q{n} to q{m}.
+_REPAIR = """r{n} AS (SELECT *, lag(balance) OVER w AS up, lead(balance) OVER w AS down, lead(movement) OVER w AS nm, row_number() OVER w AS rn FROM q{n} WINDOW w AS (PARTITION BY statement ORDER BY seq)), f{n} AS (SELECT *, CASE WHEN abs(balance - up) <> movement THEN coalesce(CASE WHEN abs(down - (up + movement)) = nm AND len((up + movement)::VARCHAR) = len(balance::VARCHAR) AND len(list_filter(range(1, len(balance::VARCHAR) + 1), lambda i: ((up + movement)::VARCHAR)[i] <> (balance::VARCHAR)[i])) = 1 THEN up + movement END, CASE WHEN abs(down - (up - movement)) = nm AND len((up - movement)::VARCHAR) = len(balance::VARCHAR) AND len(list_filter(range(1, len(balance::VARCHAR) + 1), lambda i: ((up - movement)::VARCHAR)[i] <> (balance::VARCHAR)[i])) = 1 THEN up - movement END) END AS fresh FROM r{n}), t{n} AS (SELECT *, fresh IS NOT NULL AND (rn - coalesce(last_value(CASE WHEN fresh IS NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY statement ORDER BY seq ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS take FROM f{n}), q{m} AS (SELECT statement, seq, movement, (CASE WHEN take THEN fresh ELSE balance END)::DECIMAL(18,2) AS balance, repaired OR take AS repaired FROM t{n})"""
+
+
+@query(with_base(", q0 AS (SELECT statement, seq, movement, balance, false AS repaired FROM chain), " + ", ".join(_REPAIR.format(n=n, m=n + 1) for n in range(3)) + " SELECT statement, seq, balance, repaired FROM q3"))
 def repair_balance(spark, d):
     return footers.repair_balances(chained(spark, d))
 
