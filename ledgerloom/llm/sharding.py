@@ -16,8 +16,8 @@ from ledgerloom.llm.common import settle, small_side
 
 #: Bits of the key, and bits by which a pass narrows an interval.
 KEY_BITS, STEP = 60, 10
-#: Parts by doc_id that the rows of one frequent text are cut into, and bytes of text that a task of the exchange takes.
-PARTS, TASK_BYTES = 1024, 64 << 20
+#: Parts by doc_id that the rows of one frequent text are cut into, bytes of a run, and bytes that a task of the exchange takes.
+PARTS, RUN_BYTES, TASK_BYTES = 1024, 8 << 20, 64 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -118,15 +118,15 @@ def histogram_shards(docs: DataFrame, shards: int = 8, text: str = "text", doc_i
     first. Rows equal in text and doc_id can't be told apart and stay in one shard. An empty table gives no
     rows. Columns of ``docs`` named size, shard or slot are replaced.
 
-    The exchange goes by runs: ranges of the sorted order of about ``rows_per_run`` rows, so that no task holds
-    a shard; the rows of every more frequent text are cut into up to PARTS runs at quantiles of doc_id.
+    The exchange goes by runs: ranges of the sorted order of about ``rows_per_run`` rows or RUN_BYTES, so that no
+    task holds a shard; the rows of every more frequent text are cut into up to PARTS runs at quantiles of doc_id.
     """
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     keyed = docs.drop("size", "shard", "slot").withColumns({"size": size, "_k": text_key(F.col(text)), "_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))})
     rows = settle(keyed.select(F.col("_k").alias("k"), F.col("_d").alias("d"), "size"))
     cuts = splitters(rows, shards)
     n, whole = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shift = KEY_BITS - min(40, max(3, (n // rows_per_run).bit_length()))
+    shift = KEY_BITS - min(40, max(3, (n // rows_per_run).bit_length(), (whole // RUN_BYTES).bit_length()))
 
     above = [F.col("_k") > c.key if c.doc is None else (F.col("_k") > c.key) | ((F.col("_k") == c.key) & (F.col("_d") >= c.doc)) for c in cuts]
     shard = sum((a.cast("int") for a in above), F.lit(0))
