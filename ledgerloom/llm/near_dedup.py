@@ -136,19 +136,23 @@ def _likely(least: float):
     return run
 
 
-def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Join on ``key``, of which ``right`` has few rows each; rows of keys that are frequent in ``left`` are dealt to
     PIECES tasks by a hash of ``by``, and such rows of ``right`` repeated for each.
 
-    ``counted`` is ``left`` or a settled table with at least its rows. Frequent: more than HOT rows and more than a
-    100,000th of all, so there are at most 100,000 of them.
+    ``counted`` is ``left`` or a settled table with at least its rows, ``counts`` a settled table of ``key`` and the
+    number (count) of its rows, where there is one already. Frequent: more than HOT rows and more than a 100,000th of
+    all, so there are at most 100,000 of them.
     """
-    counted = left if counted is None else counted
-    n = counted.count()
+    if counts is None:
+        counted = left if counted is None else counted
+        n, counts = counted.count(), counted.groupBy(key).count()
+    else:
+        n = counts.agg(F.sum("count")).first()[0] or 0
     most = max(HOT, n // 100_000)
     if n <= most:
         return left.join(right, key)
-    hot = settle(counted.groupBy(key).count().where(F.col("count") > most).select(key, F.lit(True).alias("_hot")))
+    hot = settle(counts.where(F.col("count") > most).select(key, F.lit(True).alias("_hot")))
     if not hot.head(1):
         return left.join(right, key)
     hot = F.broadcast(hot)  # at most 100,000 keys
@@ -184,9 +188,9 @@ def _early_shingles(sets: DataFrame, percent: int) -> DataFrame:
     first and need no rows. A linked set shares one of its first n - ceil(percent * n / 100) + 1.
     """
     rows = settle(sets.select("id", F.xxhash64("full").alias("h"), F.size("full").cast("long").alias("n"), F.explode("full").alias("token")))
-    held = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    held = settle(rows.groupBy("token").count().where("count > 1"))
     own = Window.partitionBy("id", "h", "n")
-    rows = rows.join(held, "token").withColumn("pos", F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count("*").over(own))
+    rows = dealt_join(rows, held.withColumnRenamed("count", "df"), "token", "id", counts=held).withColumn("pos", F.row_number().over(own.orderBy("df", "token")) + F.col("n") - F.count("*").over(own))
     return rows.where(f"100 * (n - pos + 1) >= {percent} * n").select("token", "id", "n", "pos")
 
 
@@ -218,8 +222,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def rows() -> DataFrame:
         return reps.mapInArrow(_band_rows, "key long, id long, n long")
 
-    hubs = rows().groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    shared = settle(rows().join(hubs, "key"))
+    hubs = settle(rows().groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("count")).where("lo < hi"))
+    shared = settle(dealt_join(rows(), hubs.drop("count"), "key", "id", counts=hubs))
     near = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -244,21 +248,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     mixed = settle(named(shared.select("key", "id")))
     several = mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = settle(mixed.join(several, "key", "left_semi").select("id").distinct())
+    open_ = settle(dealt_join(mixed, several, "key", "id", counts=hubs).select("id").distinct())
     early = settle(_early_shingles(full_sets(open_), percent))
     hub = named(early).groupBy("token").agg(F.min_by(F.struct("id", "n", "pos", "comp"), F.struct("pos", "id")).alias("h")).select("token", *[F.col(f"h.{c}").alias(c + "_h") for c in ("id", "n", "pos", "comp")])
     bound = f"100 * least(n, n_h) >= {percent} * greatest(n, n_h) AND {100 + percent} * (least(n - pos, n_h - pos_h) + 1) >= {percent} * (n + n_h)"
     pair = F.least("id", "id_h").alias("a"), F.greatest("id", "id_h").alias("b")
-    more = linked(named(early).join(hub, "token").where(f"comp <> comp_h AND {bound}").select(*pair).distinct())
+    more = linked(dealt_join(named(early), hub, "token", "id", early).where(f"comp <> comp_h AND {bound}").select(*pair).distinct())
     if more.head(1):
         edges = settle(edges.unionByName(more))
         labels = components(edges)
     here = settle(named(early))
     several = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    here = settle(here.join(several, "token", "left_semi"))
+    here = settle(dealt_join(here, several, "token", "id"))
     # documents of one frequent shingle are dealt to g parts by id; each two parts meet once, in a task of their own
     parts = here.groupBy("token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("g"))
-    here = here.join(parts, "token").withColumns({"p": F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("g") - 1))})
+    here = dealt_join(here, parts, "token", "id").withColumns({"p": F.pmod(F.xxhash64("id"), F.col("g")).cast("int"), "q": F.explode(F.sequence(F.lit(0), F.col("g") - 1))})
     cell = [F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2")]
     here = settle(here.select("token", "id", "n", "pos", "comp", "p", *cell))
     there = here.select("token", "p1", "p2", F.col("p").alias("p_h"), *[F.col(c).alias(c + "_h") for c in ("id", "n", "pos", "comp")])
