@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, maxscore, near_dedup, pii, quality_lm, secrets, sharding, toxicity
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, importance, maxscore, near_dedup, pii, quality_lm, secrets, sharding, toxicity
 from ledgerloom.llm.common import settle, table
 
 #: Key of the queries' pseudonyms; a deployment sets its own.
@@ -86,7 +86,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), percent=10, least_words=20, longest=1, buckets=10_000, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination, op13_importance_resampling)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -139,5 +144,20 @@ WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
  n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op13_importance_resampling": rf"""
+WITH RECURSIVE steps(i, v, n) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
+ crc AS (SELECT list(v ORDER BY i) AS tbl FROM steps WHERE n = 8),
+ d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+ dw AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL),
+ bw AS (SELECT x, count(*) AS n FROM (SELECT unnest({_WORDS.format('text')}) AS x FROM benchmark) GROUP BY ALL),
+ v AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda a, y: xor(tbl[xor(a & 255, y) + 1], a >> 8)), 4294967295) % 10000 AS b FROM (SELECT x FROM dw UNION SELECT x FROM bw), crc),
+ s AS (SELECT b, sum(n) AS s FROM dw JOIN v USING (x) GROUP BY b),
+ t AS (SELECT b, sum(n) AS t FROM bw JOIN v USING (x) GROUP BY b),
+ g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+ o AS (SELECT doc_id, sum(n * g) AS weight FROM dw JOIN v USING (x) JOIN g USING (b) GROUP BY doc_id),
+ r AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT)::BIGINT AS score FROM d LEFT JOIN o USING (doc_id)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS m FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * m // 100 THEN k END::BIGINT AS rank FROM k
 """,
 }
