@@ -18,11 +18,13 @@ BUCKETS = 10_000
 
 def features(tokens: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space."""
-    runs = [tokens]
-    for n in range(2, longest + 1):
+
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-    return F.concat(*runs)
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    return F.concat(tokens, *(runs(n) for n in range(2, longest + 1)))
 
 
 def collapsed(rows: DataFrame, text: str, longest: int, buckets: int) -> DataFrame:
