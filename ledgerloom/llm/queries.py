@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, importance, maxscore, near_dedup, pii, quality_lm, secrets, sharding, toxicity
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, importance, maxscore, near_dedup, pii, prefix_trie, quality_lm, secrets, sharding, toxicity
 from ledgerloom.llm.common import settle, table
 
 #: Key of the queries' pseudonyms; a deployment sets its own.
@@ -86,12 +86,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(settle(convs), span=5, heads=9))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"), percent=10, least_words=20, longest=1, buckets=10_000, seed=2024)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination, op12_prefix_trie, op13_importance_resampling)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -144,6 +149,21 @@ WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
  n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op12_prefix_trie": """
+WITH RECURSIVE steps(i, v, n) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
+ crc AS (SELECT list(v ORDER BY i) AS tbl FROM steps WHERE n = 8),
+ t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ h AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda a, y: xor(tbl[xor(a & 255, y) + 1], a >> 8)), 4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+ b AS (SELECT h.conv_id, i, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 5 AND i <= h UNION ALL SELECT t.conv_id, i, role, text FROM t JOIN h USING (conv_id) WHERE i > h),
+ r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS d, sha256(length(role) || ':' || role || text) AS x, octet_length(encode(text)) AS bytes FROM b),
+ p AS (SELECT conv_id, d, md5(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY d)) AS node, bytes, count(*) OVER (PARTITION BY conv_id) AS len FROM r),
+ q AS (SELECT conv_id, d, node, bytes, len, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY d), '') AS up FROM p UNION ALL SELECT h.conv_id, 0, '', 0, coalesce(n, 0), NULL FROM h LEFT JOIN (SELECT conv_id, count(*) AS n FROM r GROUP BY 1) USING (conv_id)),
+ n AS (SELECT node, any_value(d) AS d, any_value(up) AS up, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len = d)), sha256('')) AS ends FROM q GROUP BY node),
+ c AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+ m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (node)),
+ s AS (SELECT q.node, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved FROM m JOIN q ON q.conv_id = m.conv_id AND q.d <= m.d GROUP BY 1)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256 FROM m JOIN s USING (node) LEFT JOIN n u ON u.node = m.up
 """,
     "op13_importance_resampling": rf"""
 WITH RECURSIVE steps(i, v, n) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
