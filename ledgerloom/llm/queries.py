@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import byte_bpe, chat_trees, decontam, importance, maxscore, near_dedup, pii, prefix_trie, quality_lm, secrets, sharding, toxicity
+from ledgerloom.llm import byte_bpe, chat_trees, decontam, importance, maxscore, near_dedup, pii, prefix_trie, quality_lm, repeats, secrets, sharding, toxicity
 from ledgerloom.llm.common import settle, table
 
 #: Key of the queries' pseudonyms; a deployment sets its own.
@@ -86,6 +86,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), n=100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = prefix_trie.packed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     return prefix_trie.trie(prefix_trie.with_shared_heads(settle(convs), span=5, heads=9))
@@ -96,7 +101,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination, op12_prefix_trie, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_quality_lm, op3_toxicity, op4_maxscore, op5_chat_trees, op6_byte_bpe, op7_secret_forest, op8_histogram_sharding, op9_pseudonyms, op10_decontamination, op11_suffix_dedup, op12_prefix_trie, op13_importance_resampling)}
 
 #: Words as the operators take them, in DuckDB.
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -149,6 +154,19 @@ WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
  n AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ b AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2198) AS y, len(x) // 2 AS n FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - 99, 0), 1000)) AS i FROM d)),
+ w AS (SELECT doc_id, i + j AS p, md5(substr(y, 2 * j + 1, 200)) AS s FROM (SELECT *, unnest(range(0, least(1000, n - 99 - i))) AS j FROM b)),
+ c AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+ g AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, (coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true))::INT AS fresh FROM c)),
+ r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM g GROUP BY doc_id, g),
+ k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM r GROUP BY 1),
+ s AS (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, len(x) // 2, len(x) // 2 FROM d),
+ o AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS before FROM s),
+ h AS (SELECT o.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM o JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN h USING (doc_id)
 """,
     "op12_prefix_trie": """
 WITH RECURSIVE steps(i, v, n) AS (SELECT i, i::BIGINT, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM steps WHERE n < 8),
