@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, n: int = 100, doc_id: str = "doc_id", text:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("d"), F.col(text).cast("binary").alias("text"))
     told_apart = not docs.groupBy("d").count().where("count > 1").isEmpty()  # else no hash of the text need travel along
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2).bit_length()
+    bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 2).bit_length()
 
     dealt = docs.where(F.octet_length("text") >= n).select("d", "text").mapInArrow(_first_pass(n, bits, told_apart), EXCHANGE)
     found = settle(dealt.groupBy("bucket").applyInPandas(_bucket_pass(n, windows=False), FOUND))
