@@ -78,7 +78,7 @@ def anchors(buf: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, n
     cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(at) != 1)) + 1
     starts = np.concatenate(([0], cut)).astype(np.int64) if len(at) else np.empty(0, np.int64)
     stops = np.concatenate((cut, [len(at)])).astype(np.int64)[: len(starts)] - 1
-    return at[starts], at[stops], g[place[starts]]
+    return at[starts], at[stops], _mixed(g[place[starts]] + U64(1))  # anew: the least of many hashes has small leading bits
 
 
 def _digests(views: list) -> np.ndarray:
