@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import one_digit_apart
@@ -89,12 +89,26 @@ def spans(rows: DataFrame) -> DataFrame:
     return out.withColumn("held", held).withColumn("gained", F.when(F.col("held"), F.col("frameless")).otherwise(F.lit(0))).select("statement", "span", "from_page", "to_page", "pages", "held", "gained")
 
 
-def adjacency(rows: DataFrame) -> DataFrame:
-    """Each pair of neighbouring pages: adjacent, gap, mismatch or undecided, by printed totals and own sums."""
-    known = F.coalesce(step("debits").isNotNull(), F.lit(False)) & F.coalesce(step("credits").isNotNull(), F.lit(False))
-    same = (step("debits") == F.col("own_debits")) & (step("credits") == F.col("own_credits"))
-    less = (step("debits") < F.col("own_debits")) | (step("credits") < F.col("own_credits"))
-    return rows.where("before_page IS NOT NULL").select("statement", "before_page", "page", F.when(~known, "undecided").when(same, "adjacent").when(less, "mismatch").otherwise("gap").alias("relation"))
+def relation(order: WindowSpec, number: Column) -> Column:
+    """adjacent, gap, mismatch or undecided, towards the page before in ``order``; null for the first page.
+
+    adjacent: the printed totals rise by the page's own sums. Else a jump of the printed ``number`` is a gap; totals that
+    disagree without one are a mismatch: a misread digit, or a missing sheet without a number.
+    """
+    up = {p: F.lag(p).over(order) for p in ("debits", "credits")}
+    risen = {p: (F.col(p) - up[p]).cast(MONEY) for p in up}
+    known = [risen[p].isNotNull() & F.col(f"own_{p}").isNotNull() for p in up]
+    same = [risen[p] == F.col(f"own_{p}") for p in up]
+    jump = F.coalesce(number > F.lag(number).over(order) + 1, F.lit(False))
+    first = F.row_number().over(order) == 1
+    return F.when(first, None).when(known[0] & known[1] & same[0] & same[1], "adjacent").when(jump, "gap").when(known[0] & known[1], "mismatch").otherwise("undecided")
+
+
+def adjacency(rows: DataFrame, number: str = "page") -> DataFrame:
+    """Each pair of neighbouring pages with their relation, by printed totals, own sums and printed numbers."""
+    order = Window.partitionBy("statement").orderBy("page")
+    out = rows.withColumn("relation", relation(order, F.col(number)))
+    return out.where("before_page IS NOT NULL").select("statement", "before_page", "page", "relation")
 
 
 def page_numbers(pages: DataFrame) -> DataFrame:

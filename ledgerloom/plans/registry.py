@@ -211,10 +211,11 @@ def page_number_gaps(spark, d):
     return footers.page_numbers(chained(spark, d))
 
 
-@query(with_base("""SELECT statement, before_page, page, CASE WHEN debits - before_debits IS NULL OR credits - before_credits IS NULL THEN 'undecided' WHEN debits - before_debits = own_debits AND credits - before_credits = own_credits THEN 'adjacent'
- WHEN debits - before_debits < own_debits OR credits - before_credits < own_credits THEN 'mismatch' ELSE 'gap' END AS relation FROM pd WHERE before_page IS NOT NULL"""))
+@query(with_base("""SELECT statement, before_page, page, CASE WHEN debits - before_debits = own_debits AND credits - before_credits = own_credits THEN 'adjacent' WHEN coalesce(n > before_n + 1, false) THEN 'gap'
+ WHEN debits - before_debits IS NULL OR credits - before_credits IS NULL THEN 'undecided' ELSE 'mismatch' END AS relation FROM (SELECT *, lag(n) OVER (PARTITION BY statement ORDER BY page) AS before_n FROM (SELECT *, CASE WHEN (statement + page) % 3 <> 0 THEN page END AS n FROM pd)) WHERE before_page IS NOT NULL"""))
 def adjacency(spark, d):
-    return footers.adjacency(reconciled(spark, d))
+    read = F.when((F.col("statement") + F.col("page")) % 3 != 0, F.col("page"))
+    return footers.adjacency(reconciled(spark, d).withColumn("number", read), "number")
 
 
 @query(with_base(""", x AS (SELECT *, coalesce(sum(CASE WHEN debits IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY statement ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS span FROM pd),
