@@ -19,23 +19,29 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, OTHER_DIGITS, ASCII_DIGITS)
 
 
+def latin_digits(text: Column) -> Column:
+    """Digits of the other alphabets as ASCII; their separators stay."""
+    return F.translate(text, OTHER_DIGITS[:20], ASCII_DIGITS[:20])
+
+
 def parse_amount(token: Column) -> Column:
     """A printed amount as decimal(18,2); null where it can't be told.
 
-    Only separators: zero for two or more. A minus at either end negates. After a dot two digits (or none) must
-    follow. After the last comma two digits are decimals, three thousands, more a lost dot after the third, fewer nothing.
+    Separators and blanks alone: zero for two or more. A minus at either end negates. Before the first dot a digit must
+    stand, after it two digits (or none), whatever marks are between them. After the last comma two digits are decimals,
+    three thousands, more a lost dot after the third, fewer nothing.
     """
     t = ascii_digits(token)
     s = F.regexp_replace(t, "[^0-9.,]", "")
     minus = t.rlike(r"^\s*-") | t.rlike(r"-\s*$")
-    whole, fraction = F.replace(F.substring_index(s, ".", 1), F.lit(",")), F.replace(F.regexp_extract(s, r"^[^.]*\.(.*)$", 1), F.lit(","))
+    whole, fraction = F.replace(F.substring_index(s, ".", 1), F.lit(",")), F.regexp_replace(F.regexp_extract(s, r"^[^.]*\.(.*)$", 1), "[^0-9]", "")
     tail = F.substring_index(s, ",", -1)
     head = F.replace(F.regexp_extract(s, r"^(.*),[^,]*$", 1), F.lit(","))
     lost = F.concat(head, F.substring(tail, 1, 3), F.lit("."), F.lpad(F.substring(tail, 4, 2), 2, "0"))
     commas = F.when(F.length(tail) == 2, F.concat(head, F.lit("."), tail)).when(F.length(tail) == 3, F.concat(head, tail)).when(F.length(tail) > 3, lost).otherwise(head)
-    dotted = F.when(fraction.rlike("^[0-9]{2}$"), F.concat(whole, F.lit("."), fraction)).when(fraction == "", whole)
+    dotted = F.when(whole == "", None).when(F.length(fraction) == 2, F.concat(whole, F.lit("."), fraction)).when(fraction == "", whole)
     number = F.when(s.contains("."), dotted).when(s.contains(","), commas).otherwise(s)
-    value = F.when(~s.rlike("[0-9]"), F.when(F.length(s) >= 2, F.lit("0"))).otherwise(number).try_cast(MONEY)
+    value = F.when(t.rlike(r"^[\s.,]+$"), F.when(F.length(F.regexp_replace(t, r"^\s+|\s+$", "")) >= 2, F.lit("0"))).when(s.rlike("[0-9]"), number).try_cast(MONEY)
     return F.when(minus, -value).otherwise(value).cast(MONEY)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import MONEY, ascii_digits, search_form
+from ledgerloom.functions.scalars import MONEY, ascii_digits, latin_digits, search_form
 
 
 def amount_argument(text: Column) -> Column:
@@ -14,42 +14,59 @@ def amount_argument(text: Column) -> Column:
 
 
 def number_of_export(token: Column) -> Column:
-    """A comma before the last two digits is the decimal one if there is no dot; other commas are of thousands."""
-    t = F.regexp_replace(ascii_digits(token), "[^0-9.,-]", "")
-    t = F.when(t.rlike(r"^[^.]*,[0-9]{2}$"), F.regexp_replace(t, r",([0-9]{2})$", ".$1")).otherwise(t)
-    return F.replace(t, F.lit(",")).try_cast(MONEY)
+    """The number that an exported cell stands for; null where the rest is no number.
+
+    In a cell with digits of another alphabet, and nothing but digits and commas, a comma before the last two digits is
+    the decimal one. All other commas are of thousands, also in Latin digits.
+    """
+    t = latin_digits(F.trim(token))
+    other = token.rlike("[٠-٩۰-۹]") & t.rlike("^[0-9,]*,[0-9]{2}$")
+    plain = F.replace(t, F.lit(","))
+    decimal = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 2), F.lit("."), F.right(plain, F.lit(2)))
+    return F.replace(F.when(other, decimal).otherwise(plain), F.lit("٫"), F.lit(".")).try_cast(MONEY)
 
 
 def number_of_evaluation(token: Column) -> Column:
-    """Of two kinds of separators the last is the decimal one; a single dot before three digits is of thousands."""
-    t = F.regexp_replace(ascii_digits(token), "[^0-9.,-]", "")
-    dot, comma = F.length(t) - F.instr(F.reverse(t), "."), F.length(t) - F.instr(F.reverse(t), ",")
-    both = t.contains(".") & t.contains(",")
-    comma_last = F.replace(F.replace(t, F.lit(".")), F.lit(","), F.lit("."))
-    plain = F.replace(t, F.lit(","))
-    thousands = t.rlike(r"^-?[0-9]{1,3}\.[0-9]{3}$")
-    return F.when(both & (comma > dot), comma_last).when(thousands, F.replace(t, F.lit("."))).otherwise(plain).try_cast(MONEY)
+    """The first number of a text. Of two kinds of separators the later is the decimal one.
+
+    Commas alone are decimal if two digits follow the last, else of thousands; a single dot before three digits is of thousands.
+    """
+    t = F.replace(F.replace(latin_digits(token), F.lit("٬")), F.lit("٫"), F.lit("."))
+    t = F.regexp_replace(F.regexp_extract(t, "-?[0-9.,]+", 0), "[.,]+$", "")
+    dot, comma = (F.length(t) - F.instr(F.reverse(t), sign) for sign in ".,")
+    tail = F.length(F.regexp_extract(t, "([^.,]*)$", 1))
+    without = lambda sign: F.replace(t, F.lit(sign))
+    both = F.when(dot > comma, without(",")).otherwise(F.replace(without("."), F.lit(","), F.lit(".")))
+    commas = F.when(tail == 2, F.replace(t, F.lit(","), F.lit("."))).otherwise(without(","))
+    dots = F.when((tail == 3) & (F.length(t) - F.length(without(".")) == 1), without(".")).otherwise(t)
+    return F.when(t.contains(".") & t.contains(","), both).when(t.contains(","), commas).when(t.contains("."), dots).otherwise(t).try_cast(MONEY)
 
 
 def number_of_witness(token: Column) -> Column:
-    """Commas are of thousands; null for more than one dot."""
-    t = F.regexp_replace(ascii_digits(token), "[^0-9.-]", "")
+    """Digits and dots alone, without sign; null for more than one dot."""
+    t = F.regexp_replace(F.replace(latin_digits(token), F.lit("٫"), F.lit(".")), "[^0-9.]", "")
     return F.when(F.length(F.regexp_replace(t, "[^.]", "")) <= 1, t).try_cast(MONEY)
 
 
 def date_of_cell(cell: Column) -> Column:
-    """Eight digits, or year, month and day with one separator; ranges are checked, the calendar isn't."""
-    t = F.trim(ascii_digits(cell))
-    form = r"^([0-9]{4})[-/.]?([0-9]{2})[-/.]?([0-9]{2})$"
-    y, m, d = (F.regexp_extract(t, form, i) for i in (1, 2, 3))
-    return F.when(t.rlike(form) & y.between("1300", "2100") & m.between("01", "12") & d.between("01", "31"), F.concat_ws("-", y, m, d))
+    """A day of the calendar from 1900 to 2100: eight digits, or year, month and day (one digit or two) with separators."""
+    t = F.trim(latin_digits(cell))
+    form = r"^([0-9]{4})(?:([0-9]{2})([0-9]{2})|[-/.]([0-9]{1,2})[-/.]([0-9]{1,2}))$"
+    y, m, d = F.regexp_extract(t, form, 1), *(F.lpad(F.concat(F.regexp_extract(t, form, i), F.regexp_extract(t, form, i + 2)), 2, "0") for i in (2, 3))
+    real = F.try_to_timestamp(F.concat(y, m, d), F.lit("yyyyMMdd")).isNotNull()
+    return F.when(t.rlike(form) & y.between("1900", "2100") & real, F.concat_ws("-", y, m, d))
 
 
 def dates_in_text(text: Column) -> Column:
-    """struct(gregorian, hijri): the first date of either calendar by its year (1900-2100, 1300-1500)."""
-    found = F.regexp_extract_all(ascii_digits(text), F.lit(r"(?<![0-9])[0-9]{4}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])(?![0-9])"), F.lit(0))
-    first = lambda a, b: F.translate(F.get(F.filter(found, lambda x: F.left(x, F.lit(4)).between(a, b)), F.lit(0)), "/.", "--")
-    return F.struct(first("1900", "2100").alias("gregorian"), first("1300", "1500").alias("hijri"))
+    """struct(gregorian, hijri): of the runs of eight digits in a text the first that can be a day of either calendar.
+
+    Gregorian: years 19xx and 20xx up to 2100; Hijri: 14xx. Months up to 12, days up to 31.
+    """
+    runs = F.regexp_extract_all(latin_digits(text), F.lit("[0-9]{8}"), F.lit(0))
+    possible = F.filter(runs, lambda x: x.substr(5, 2).between("01", "12") & x.substr(7, 2).between("01", "31"))
+    dashed = lambda x: F.concat_ws("-", x.substr(1, 4), x.substr(5, 2), x.substr(7, 2))
+    first = lambda a, b: F.get(F.transform(F.filter(possible, lambda x: x.substr(1, 4).between(a, b)), dashed), F.lit(0))
+    return F.struct(first("1900", "2100").alias("gregorian"), first("1400", "1499").alias("hijri"))
 
 
 def date_shown(iso: Column, inherited: Column) -> Column:
@@ -104,13 +121,20 @@ def needs_tool(question: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """array of (page, first, last): "page 3 rows 4-7" or "rows 7 to 4"; page null if not named; a reversed range is turned."""
-    whole = F.regexp_extract_all(F.lower(ascii_digits(answer)), F.lit(r"(?:page\s+[0-9]+,?\s+)?rows?\s+[0-9]+(?:\s*(?:-|to)\s*[0-9]+)?"), F.lit(0))
+    """array of (page, first, last) from an answer's text; a reversed range is turned.
+
+    "page 3, rows 4-7": up to fourteen other signs stand between the page and its rows. Rows without a page ("rows 7 to
+    4", page null) are read only in an answer that cites no page.
+    """
+    t, rows = F.lower(latin_digits(answer)), r"rows?\s*([0-9]+)(?:\s*(?:[-–—]|to)\s*([0-9]+))?"
+    paged, bare = rf"page\s*([0-9]+)[^0-9]{{0,14}}?{rows}", rf"(?<![0-9]){rows}"
+
+    def read(pattern: str, page: int | None, at: int) -> Column:
+        def one(c: Column) -> Column:
+            part = lambda i: F.regexp_extract(c, pattern, i).try_cast("int")
+            a, b = part(at), F.coalesce(part(at + 1), part(at))
+            return F.struct((part(page) if page else F.lit(None).cast("int")).alias("page"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
 
-    def one(c: Column) -> Column:
-        page = F.regexp_extract(c, r"page\s+([0-9]+)", 1).try_cast("int")
-        a, b = F.regexp_extract(c, r"rows?\s+([0-9]+)", 1).try_cast("int"), F.regexp_extract(c, r"(?:-|to)\s*([0-9]+)$", 1).try_cast("int")
-        b = F.coalesce(b, a)
-        return F.struct(page.alias("page"), F.least(a, b).alias("first"), F.greatest(a, b).alias("last"))
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), one)
 
-    return F.transform(whole, one)
+    return F.when(t.rlike(paged), read(paged, 1, 2)).otherwise(read(bare, None, 1))

@@ -160,20 +160,20 @@ def fewest_moved(ranked: DataFrame, position: str = "page") -> DataFrame:
 def repair_balances(chained: DataFrame, rounds: int = 3) -> DataFrame:
     """statement, seq, balance, repaired: balances that are one digit off.
 
-    A suspect row's balance becomes the one that its movement leads to, if that differs by one character and the next
-    row closes with it. After a repair the next row is no longer suspect, so of consecutive rows that could be repaired
-    every second one is, beginning with the first. ``rounds`` passes, each over the balances of the one before; all of
-    them are windows over one order of each statement.
+    A row's balance becomes the one above less its movement, else that plus its movement, if it differs from what was read
+    by one character, the next balance differs from it, and the next row closes with it by its printed movement. Each of
+    ``rounds`` passes looks at the balances of the one before. Within a pass a row behind a repaired one waits for the next
+    pass: of consecutive rows that could be repaired every second one is, beginning with the first, so that all of it is
+    windows over one order of each statement.
     """
     order = Window.partitionBy("statement").orderBy("seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = chained.select("statement", "seq", "movement", "balance", F.lit(False).alias("repaired"))
     for _ in range(rounds):
         rows = rows.withColumns({"_above": F.lag("balance").over(order), "_below": F.lead("balance").over(order), "_next": F.lead("movement").over(order), "_n": F.row_number().over(order)})
-        suspect = F.abs(F.col("balance") - F.col("_above")) != F.col("movement")
-        fits = lambda x: one_digit_apart(x.cast("string"), F.col("balance").cast("string")) & (F.abs(F.col("_below") - x) == F.col("_next"))
-        led = [(F.col("_above") + sign * F.col("movement")).cast(MONEY) for sign in (1, -1)]
-        rows = rows.withColumn("_fresh", F.when(suspect, F.coalesce(*[F.when(fits(x), x) for x in led])))
+        fits = lambda x: one_digit_apart(x.cast("string"), F.col("balance").cast("string")) & (F.abs(F.col("_below") - x) == F.col("_next")) & (F.col("_below") != x)
+        led = [(F.col("_above") + sign * F.col("movement")).cast(MONEY) for sign in (-1, 1)]
+        rows = rows.withColumn("_fresh", F.coalesce(*[F.when(fits(x), x) for x in led]))
         place = F.col("_n") - F.coalesce(F.last(F.when(F.col("_fresh").isNull(), F.col("_n")), ignorenulls=True).over(upto), F.lit(0))
         rows = rows.withColumn("_take", F.col("_fresh").isNotNull() & (place % 2 == 1))
         rows = rows.select("statement", "seq", "movement", F.when(F.col("_take"), F.col("_fresh")).otherwise(F.col("balance")).alias("balance"), (F.col("repaired") | F.col("_take")).alias("repaired"))

@@ -43,25 +43,64 @@ def amount_argument(spark, d):
     return statements.events(spark, d).select("event_id", texts.amount_argument(given).alias("amount"))
 
 
-_N = "(cents % 100000) // 100 + 1000"
+#: Forms of a printed number; {} is its whole part, four digits.
+FORMS = ("{},25", "1,{}", "{}.50", "1.2.3", "{}.5", "1.{},75", "1,{}.75", "{}-", "-{},5", " {} ", "SAR {}", "12.345", "{}٫25", "١٬{},50", "٣٠٠,{}", "٣,{},25", "۱۲,۵۰", ".25", "abc.,", ". ,", ".", "{},", "1,{}5", "")
 
 
-@query(with_base(f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN n + 0.25 WHEN 1 THEN n WHEN 2 THEN n + 0.5 ELSE NULL END::{_MONEY} AS export, CASE event_id % 4 WHEN 0 THEN n * 100 + 25 WHEN 1 THEN n WHEN 2 THEN n + 0.5 ELSE NULL END::{_MONEY} AS evaluation, CASE event_id % 4 WHEN 0 THEN n * 100 + 25 WHEN 1 THEN n WHEN 2 THEN n + 0.5 ELSE NULL END::{_MONEY} AS witness FROM (SELECT event_id, {_N} AS n FROM tm)"))
+def printed_forms(spark, d):
+    """event_id, token: the whole part of every amount in one of the forms."""
+    n = F.lpad((F.floor(F.col("cents") / 100) % 9000 + 1000).cast("string"), 4, "0")
+    form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (F.col("event_id") % len(FORMS) + 1).cast("int"))
+    return statements.true_movements(statements.events(spark, d)).select("event_id", F.replace(form, F.lit("{}"), n).alias("token"))
+
+
+#: The tokens again (tf), and with digits as ASCII (l), separators as dots and commas (u).
+FORMS_SQL = ", tf AS (SELECT event_id, replace([" + ", ".join(f"'{f}'" for f in FORMS) + f"][event_id % {len(FORMS)} + 1], '{{}}', (cents // 100 % 9000 + 1000)::VARCHAR) AS token FROM tm), tl AS (SELECT *, translate(token, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS l FROM tf), tu AS (SELECT *, translate(l, '٫٬،', '.,,') AS u FROM tl)"
+
+
+@query(with_base(FORMS_SQL + r""", te AS (SELECT *, regexp_replace(regexp_extract(translate(l, '٫٬', '.'), '-?[0-9.,]+'), '[.,]+$', '') AS e, regexp_replace(replace(l, '٫', '.'), '[^0-9.]', '', 'g') AS w FROM tl)
+ SELECT event_id, token, try_cast(replace(CASE WHEN regexp_matches(token, '[٠-٩۰-۹]') AND regexp_full_match(trim(l), '[0-9,]*,[0-9]{2}') THEN regexp_replace(replace(trim(l), ',', ''), '(..)$', '.\1') ELSE replace(trim(l), ',', '') END, '٫', '.') AS DECIMAL(18,2)) AS export,
+  try_cast(CASE WHEN regexp_matches(e, '\..*,') AND regexp_matches(e, ',[^.]*$') THEN replace(replace(e, '.', ''), ',', '.') WHEN regexp_matches(e, ',.*\.') THEN replace(e, ',', '') WHEN regexp_matches(e, ',[0-9]{2}$') THEN replace(e, ',', '.') WHEN contains(e, ',') THEN replace(e, ',', '') WHEN regexp_full_match(e, '-?[0-9]*\.[0-9]{3}') THEN replace(e, '.', '') ELSE e END AS DECIMAL(18,2)) AS evaluation,
+  CASE WHEN NOT regexp_matches(w, '\..*\.') THEN try_cast(w AS DECIMAL(18,2)) END AS witness FROM te"""))
 def number_parsers(spark, d):
-    n = (F.floor((F.col("cents") % 100000) / 100) + 1000).cast("long").cast("string")
-    k = F.col("event_id") % 4
-    token = F.when(k == 0, F.concat(n, F.lit(",25"))).when(k == 1, F.concat(F.substring(n, 1, 1), F.lit(","), F.substring(n, 2, 9))).when(k == 2, F.concat(n, F.lit(".50"))).otherwise("1.2.3")
-    rows = statements.true_movements(statements.events(spark, d)).withColumn("t", token)
-    return rows.select("event_id", texts.number_of_export(F.col("t")).alias("export"), texts.number_of_evaluation(F.col("t")).alias("evaluation"), texts.number_of_witness(F.col("t")).alias("witness"))
+    t = F.col("token")
+    return printed_forms(spark, d).select("event_id", "token", texts.number_of_export(t).alias("export"), texts.number_of_evaluation(t).alias("evaluation"), texts.number_of_witness(t).alias("witness"))
+
+
+@query(with_base(FORMS_SQL + r""", ts AS (SELECT *, regexp_replace(u, '[^0-9.,]', '', 'g') AS s FROM tu), tp AS (SELECT *, replace(regexp_extract(s, '^([^.]*)\.', 1), ',', '') AS a, regexp_replace(regexp_extract(s, '^[^.]*\.(.*)$', 1), '[^0-9]', '', 'g') AS b, replace(regexp_extract(s, '^(.*),[^,]*$', 1), ',', '') AS h, regexp_extract(s, ',([^,]*)$', 1) AS t FROM ts),
+ tv AS (SELECT *, CASE WHEN regexp_full_match(u, '[\s.,]+') THEN CASE WHEN len(trim(u)) >= 2 THEN '0' END WHEN s = '' THEN NULL WHEN contains(s, '.') THEN CASE WHEN a = '' THEN NULL WHEN len(b) = 2 THEN a || '.' || b WHEN b = '' THEN a END WHEN NOT contains(s, ',') THEN s WHEN len(t) < 2 THEN h WHEN len(t) = 2 THEN h || '.' || t WHEN len(t) = 3 THEN h || t ELSE h || t[:3] || '.' || lpad(t[4:5], 2, '0') END AS v FROM tp)
+ SELECT event_id, token, (try_cast(v AS DECIMAL(18,2)) * CASE WHEN regexp_matches(u, '^\s*-|-\s*$') THEN -1 ELSE 1 END)::DECIMAL(18,2) AS amount FROM tv"""))
+def amount_forms(spark, d):
+    return printed_forms(spark, d).select("event_id", "token", scalars.parse_amount(F.col("token")).alias("amount"))
+
 
+#: Date cells and texts; {0} year, {1} month, {2} day, {3} day without a leading zero.
+CELLS = ("{0}{1}{2}", "{0}/{1}/{2}", " {0}.{1}.{2} ", "{0}-{1}-{3}", "2024-13-01", "2024/02/30", "1444/01/05", "{0}{1}", "٢٠٢٤/٠١/٠٥", "2101-01-01", "20240230", "")
+PROSE = ("order 12345 of {0}{1}{2}, paid 20310101", "14450630 or {0}{1}{2}", "no 99991231, 14451301", "no14430105no", "{0}/{1}/{2}", "٢٠٢٤٠١٠٥ and 14460101", "123{0}{1}{2}")
 
-@query(with_base("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE strftime(day, '%Y-%m-%d') END AS iso, strftime(day, '%Y-%m-%d') AS gregorian, CASE WHEN event_id % 2 = 0 THEN '1445-06-30' END AS hijri, CASE event_id % 4 WHEN 3 THEN '-' ELSE strftime(day, '%Y/%m/%d') || CASE WHEN event_id % 2 = 0 THEN '*' ELSE '' END END AS shown FROM tm"))
+
+def filled(forms, k, day):
+    text = F.element_at(F.array(*[F.lit(f) for f in forms]), (k % len(forms) + 1).cast("int"))
+    for i, form in enumerate(("yyyy", "MM", "dd", "d")):
+        text = F.replace(text, F.lit(f"{{{i}}}"), F.date_format(day, form))
+    return text
+
+
+def _filled_sql(forms, k):
+    text = "[" + ", ".join(f"'{f}'" for f in forms) + f"][{k} % {len(forms)} + 1]"
+    for i, form in enumerate(("%Y", "%m", "%d", "%-d")):
+        text = f"replace({text}, '{{{i}}}', strftime(day, '{form}'))"
+    return text
+
+
+@query(with_base(f""", c AS (SELECT event_id, translate({_filled_sql(CELLS, 'event_id')}, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS cell, translate({_filled_sql(PROSE, 'event_id')}, '٠١٢٣٤٥٦٧٨٩', '0123456789') AS prose FROM tm),
+ p AS (SELECT event_id, string_split(regexp_replace(regexp_replace(trim(cell), '^([0-9]{{4}})([0-9]{{2}})([0-9]{{2}})$', '\\1-\\2-\\3'), '[/.]', '-', 'g'), '-') AS v, list_filter(regexp_extract_all(prose, '[0-9]{{8}}'), lambda x: try_cast(x[5:6] AS INT) BETWEEN 1 AND 12 AND try_cast(x[7:8] AS INT) BETWEEN 1 AND 31) AS r FROM c),
+ q AS (SELECT event_id, CASE WHEN len(v) = 3 AND try_cast(v[1] AS INT) BETWEEN 1900 AND 2100 THEN strftime(try_cast(v[1] || '-' || lpad(v[2], 2, '0') || '-' || lpad(v[3], 2, '0') AS DATE), '%Y-%m-%d') END AS iso, list_filter(r, lambda x: x[1:2] IN ('19', '20') AND try_cast(x[1:4] AS INT) <= 2100)[1] AS g, list_filter(r, lambda x: x[1:2] = '14')[1] AS h FROM p)
+ SELECT event_id, iso, g[1:4] || '-' || g[5:6] || '-' || g[7:8] AS gregorian, h[1:4] || '-' || h[5:6] || '-' || h[7:8] AS hijri, CASE WHEN iso IS NULL THEN '-' ELSE replace(iso, '-', '/') || CASE WHEN event_id % 2 = 0 THEN '*' ELSE '' END END AS shown FROM q"""))
 def further_dates(spark, d):
-    k, day = F.col("event_id") % 4, F.date_format("day", "yyyy-MM-dd")
-    cell = F.when(k == 0, F.translate(day, "-", "")).when(k == 1, F.translate(day, "-", "/")).when(k == 2, F.translate(F.concat(day, F.lit(" ")), "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise("2024-13-01")
-    text = F.concat(F.lit("order 12345-06-07 of "), F.when(k % 2 == 0, "1445/06/30 or ").otherwise(""), day, F.lit(", paid 2031-01-01"))
-    rows = statements.true_movements(statements.events(spark, d)).select("event_id", texts.date_of_cell(cell).alias("iso"), texts.dates_in_text(text).alias("t"))
-    return rows.select("event_id", "iso", "t.gregorian", "t.hijri", texts.date_shown(F.col("iso"), F.col("event_id") % 2 == 0).alias("shown"))
+    e = F.col("event_id")
+    rows = statements.true_movements(statements.events(spark, d)).select("event_id", texts.date_of_cell(filled(CELLS, e, "day")).alias("iso"), texts.dates_in_text(filled(PROSE, e, "day")).alias("t"))
+    return rows.select("event_id", "iso", "t.gregorian", "t.hijri", texts.date_shown(F.col("iso"), e % 2 == 0).alias("shown"))
 
 
 @query(with_base("SELECT statement, count(*) AS n, CASE WHEN count(*) = 1 THEN 'one' WHEN count(*) = 2 THEN 'two' WHEN count(*) BETWEEN 3 AND 10 THEN 'few' ELSE 'many' END AS form FROM mv GROUP BY 1"))
@@ -92,12 +131,17 @@ def question_facts(spark, d):
     return rows.select("event_id", F.array_join(texts.years_in_text(q), ",").alias("years"), F.size(texts.amounts_in_text(q)).alias("amounts"), texts.money_shaped(q).alias("money"), texts.needs_tool(q).alias("tool"), texts.mentions(q, "fee").alias("named"))
 
 
-@query(with_base(""", c AS (SELECT statement, page, 2 AS a, 4 AS b FROM srows WHERE row_no = 1 UNION ALL SELECT statement, NULL, 9, 9 FROM srows WHERE row_no = 1 AND page = 1),
+@query(with_base(r""", t AS (SELECT statement, lower(CASE WHEN statement % 3 = 0 THEN 'See ROWS 9 to 8 and row ' || page ELSE 'As page ' || page || ', in its rows 4 - 2 and page ' || (page + 1) || ': row ' || (page % 5) || ' show, and row 9' END) AS t FROM srows WHERE row_no = 1),
+ m AS (SELECT statement, unnest(CASE WHEN contains(t, 'page') THEN regexp_extract_all(t, 'page\s*[0-9]+[^0-9]{0,14}?rows?\s*[0-9]+(?:\s*(?:-|to)\s*[0-9]+)?') ELSE regexp_extract_all(t, 'rows?\s*[0-9]+(?:\s*(?:-|to)\s*[0-9]+)?') END) AS m FROM t),
+ n AS (SELECT statement, regexp_matches(m, '^page') AS paged, list_transform(regexp_extract_all(m, '[0-9]+'), lambda x: x::INT) AS n FROM m),
+ c AS (SELECT statement, CASE WHEN paged THEN n[1] END AS page, list_min(n[1 + paged::INT:]) AS a, list_max(n[1 + paged::INT:]) AS b FROM n),
  r AS (SELECT DISTINCT c.statement AS question, s.statement, s.page, s.row_no, s.seq FROM c JOIN srows s ON c.statement = s.statement AND (c.page IS NULL OR c.page = s.page) AND s.row_no BETWEEN a AND b)
  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY question ORDER BY statement, seq) <= 60"""))
 def cited_rows(spark, d):
-    rows = rows_of(spark, d)
-    said = rows.where("row_no = 1").select("statement", F.concat(F.lit("As page "), "page", F.lit(" rows 4 - 2 show"), F.when(F.col("page") == 1, ", and row 9").otherwise("")).alias("answer"))
+    rows, p = rows_of(spark, d), F.col("page")
+    bare = F.concat(F.lit("See ROWS 9 to 8 and row "), p)
+    paged = F.concat(F.lit("As page "), p, F.lit(", in its rows 4 - 2 and page "), p + 1, F.lit(": row "), p % 5, F.lit(" show, and row 9"))
+    said = rows.where("row_no = 1").select("statement", F.when(F.col("statement") % 3 == 0, bare).otherwise(paged).alias("answer"))
     cited = said.select("statement", F.col("statement").alias("question"), F.explode(texts.citations(F.col("answer"))).alias("c")).select("statement", "question", "c.*").distinct()
     return evidence.rows_cited(cited, rows)
 

@@ -255,13 +255,24 @@ def footer_order_lis(spark, d):
     return footers.fewest_moved(footers.order_conflicts(shuffled(spark, d), "pos"), "pos")
 
 
-#: One round of repairs in DuckDB, from q{n} to q{m}.
-_REPAIR = """r{n} AS (SELECT *, lag(balance) OVER w AS up, lead(balance) OVER w AS down, lead(movement) OVER w AS nm, row_number() OVER w AS rn FROM q{n} WINDOW w AS (PARTITION BY statement ORDER BY seq)), f{n} AS (SELECT *, CASE WHEN abs(balance - up) <> movement THEN coalesce(CASE WHEN abs(down - (up + movement)) = nm AND len((up + movement)::VARCHAR) = len(balance::VARCHAR) AND len(list_filter(range(1, len(balance::VARCHAR) + 1), lambda i: ((up + movement)::VARCHAR)[i] <> (balance::VARCHAR)[i])) = 1 THEN up + movement END, CASE WHEN abs(down - (up - movement)) = nm AND len((up - movement)::VARCHAR) = len(balance::VARCHAR) AND len(list_filter(range(1, len(balance::VARCHAR) + 1), lambda i: ((up - movement)::VARCHAR)[i] <> (balance::VARCHAR)[i])) = 1 THEN up - movement END) END AS fresh FROM r{n}), t{n} AS (SELECT *, fresh IS NOT NULL AND (rn - coalesce(last_value(CASE WHEN fresh IS NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY statement ORDER BY seq ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS take FROM f{n}), q{m} AS (SELECT statement, seq, movement, (CASE WHEN take THEN fresh ELSE balance END)::DECIMAL(18,2) AS balance, repaired OR take AS repaired FROM t{n})"""
+#: One round of repairs in DuckDB, from q{n} to q{m}: candidates as rows, the first that fits wins.
+_REPAIR = """r{n} AS (SELECT *, lag(balance) OVER w AS up, lead(balance) OVER w AS down, lead(movement) OVER w AS nm, row_number() OVER w AS rn FROM q{n} WINDOW w AS (PARTITION BY statement ORDER BY seq)),
+ k{n} AS (SELECT statement, seq, k, up + k * movement AS x, down, nm, balance FROM r{n}, (VALUES (-1), (1)) t(k)),
+ b{n} AS (SELECT statement, seq, arg_min(x, k) AS fresh FROM k{n} WHERE abs(down - x) = nm AND down <> x AND len(x::VARCHAR) = len(balance::VARCHAR) AND hamming(x::VARCHAR, balance::VARCHAR) = 1 GROUP BY ALL),
+ f{n} AS (SELECT r{n}.*, fresh FROM r{n} LEFT JOIN b{n} USING (statement, seq)),
+ t{n} AS (SELECT *, fresh IS NOT NULL AND (rn - coalesce(last_value(CASE WHEN fresh IS NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY statement ORDER BY seq ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS take FROM f{n}),
+ q{m} AS (SELECT statement, seq, movement, (CASE WHEN take THEN fresh ELSE balance END)::DECIMAL(18,2) AS balance, repaired OR take AS repaired FROM t{n})"""
 
 
-@query(with_base(", q0 AS (SELECT statement, seq, movement, balance, false AS repaired FROM chain), " + ", ".join(_REPAIR.format(n=n, m=n + 1) for n in range(3)) + " SELECT statement, seq, balance, repaired FROM q3"))
+@query(with_base(", q0 AS (SELECT statement, seq, movement, CASE WHEN seq % 17 = 8 THEN balance + CASE WHEN floor(abs(balance)) % 10 = 9 THEN -1 ELSE 1 END * CASE WHEN balance < 0 THEN -1 ELSE 1 END ELSE balance END::DECIMAL(18,2) AS balance, false AS repaired FROM chain), " + ", ".join(_REPAIR.format(n=n, m=n + 1) for n in range(3)) + " SELECT statement, seq, balance, repaired FROM q3"))
 def repair_balance(spark, d):
-    return footers.repair_balances(chained(spark, d))
+    return footers.repair_balances(misread_balances(chained(spark, d)))
+
+
+def misread_balances(rows):
+    """Every seventeenth balance with its third sign from the right (the last digit before the point) one off."""
+    off = F.when(F.floor(F.abs("balance")) % 10 == 9, -1).otherwise(1) * F.when(F.col("balance") < 0, -1).otherwise(1)
+    return rows.withColumn("balance", F.when(F.col("seq") % 17 == 8, F.col("balance") + off).otherwise(F.col("balance")).cast("decimal(18,2)"))
 
 
 # scalar functions over printed tokens made from the events

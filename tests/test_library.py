@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as s
+from ledgerloom.functions import texts
 from ledgerloom.operators import audits, chain, footers, ledger, search, tools
 from ledgerloom.sources import readers
 from ledgerloom.streaming import pages
@@ -142,3 +143,52 @@ def test_activity_windows(spark):
     ev = spark.createDataFrame([(t, "a", 1.0, 1), (t + datetime.timedelta(minutes=20), "a", 2.0, 1), (t + datetime.timedelta(hours=3), "a", 4.0, 1)], "ts timestamp, event_type string, value double, user_id long")
     assert sorted(r.total for r in pages.activity(ev).collect()) == [3.0, 4.0]
     assert sorted(r.n for r in pages.sessions(ev).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize(("token", "export", "evaluation", "witness"), [("300,00", "30000", "300", "30000"), ("٣٠٠,٠٠", "300", "300", "30000"), ("1234,25", "123425", "1234.25", "123425"), ("1.234", "1.23", "1234", "1.23"), ("1.234,56", "1.23", "1234.56", "1.23"), ("1,234,25", "123425", None, "123425"), ("50-", None, "50", "50"), ("-7.5", "-7.5", "-7.5", "7.5"), ("SAR 9.10", None, "9.10", "9.10"), ("1.2.3", None, None, None), ("٠٫٥٠", "0.5", "0.5", "0.5"), ("", None, None, None), (None, None, None, None)])
+def test_number_parsers(spark, token, export, evaluation, witness):
+    c = F.col("t")
+    got = spark.createDataFrame([(token,)], "t string").select(texts.number_of_export(c).alias("e"), texts.number_of_evaluation(c).alias("v"), texts.number_of_witness(c).alias("w")).first()
+    want = [None if x is None else D(x) for x in (export, evaluation, witness)]
+    if token == "1.234,56":  # commas go first: 1.23456
+        assert got.e == D("1.23") and got.w == D("1.23")
+    assert list(got) == want
+
+
+@pytest.mark.parametrize(("token", "amount"), [(".25", None), ("1.2.3", "1.23"), ("abc.,", None), (". ,", "0"), ("7.5.", None), ("7.50 -", "-7.50")])
+def test_amounts_with_odd_separators(spark, token, amount):
+    got = spark.createDataFrame([(token,)], "t string").select(s.parse_amount(F.col("t"))).first()[0]
+    assert got == (None if amount is None else D(amount))
+
+
+@pytest.mark.parametrize(("cell", "iso"), [("2024/1/5", "2024-01-05"), ("20240105", "2024-01-05"), ("٢٠٢٤.٠١.٠٥", "2024-01-05"), ("1444/01/05", None), ("2024-02-30", None), ("2101-01-01", None), ("202415", None), (None, None)])
+def test_date_cells(spark, cell, iso):
+    assert spark.createDataFrame([(cell,)], "t string").select(texts.date_of_cell(F.col("t"))).first()[0] == iso
+
+
+def test_dates_in_prose(spark):
+    one = lambda t: tuple(spark.createDataFrame([(t,)], "t string").select(texts.dates_in_text(F.col("t")).alias("d")).first().d)
+    assert one("ref 14450630 of 20240105, 20250101") == ("2024-01-05", "1445-06-30")
+    assert one("12345678 and 2024/01/05") == (None, None)
+    assert one("20241301 then ٢٠٢٤٠١٠٥") == ("2024-01-05", None)
+
+
+def test_citations_without_page_only_where_no_page_is_cited(spark):
+    one = lambda t: [tuple(c) for c in spark.createDataFrame([(t,)], "t string").select(texts.citations(F.col("t")).alias("c")).first().c or []]
+    assert one("page 3 rows 4-7, and row 9") == [(3, 4, 7)]
+    assert one("rows 7 to 4 and Row 9") == [(None, 4, 7), (None, 9, 9)]
+    assert one("Page 2: row 5; page 3, in its rows 8–6") == [(2, 5, 5), (3, 6, 8)]
+    assert one("page 2 has nothing on anything like rows 5") == [(None, 5, 5)]
+    assert one("nothing") == one(None) == []
+
+
+def test_repairs_take_the_lesser_candidate_first_and_leave_equal_neighbours(spark):
+    def repaired(*rows):
+        data = [(1, i, None if m is None else D(m), D(b)) for i, (m, b) in enumerate(rows, 1)]
+        out = footers.repair_balances(spark.createDataFrame(data, "statement long, seq int, movement decimal(18,2), balance decimal(18,2)")).orderBy("seq").collect()
+        return [(str(r.balance), r.repaired) for r in out]
+
+    assert repaired((None, "55.62"), ("5", "51.62"), ("22", "28.62")) == [("55.62", False), ("50.62", True), ("28.62", False)]
+    assert repaired((None, "55.62"), ("5", "51.62"), ("0", "50.62"))[1] == ("51.62", False)  # the next balance would not move
+    assert repaired((None, "55.00"), ("5", "10.00"), ("30", "30.00"))[1] == ("60.00", True)
+    assert repaired((None, "55.00"), ("5", "50.00"), ("5", "55.00"))[1] == ("60.00", True)  # rows that close are tried, too
