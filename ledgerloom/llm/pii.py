@@ -31,6 +31,8 @@ PATTERNS = {
 }
 #: Characters of the longest e-mail address (RFC 5321 allows 254 octets); what is longer is none and stays.
 LONGEST_ADDRESS = 254
+#: Matches of a text whose widths are summed anew for each place; sums of whole blocks are kept.
+BLOCK = 128
 #: Rounds of the Feistel network.
 ROUNDS = 8
 #: Dates are permuted among the days from FIRST_DAY on, DAYS of them (1900-01-01 to 2099-12-31).
@@ -85,7 +87,12 @@ def _phone(key: str) -> str:
 
 
 def _ssn(key: str) -> str:
-    return f"IF(m RLIKE '^(000|666|9)' OR m RLIKE '-00-' OR m RLIKE '0000$', m, {_let(_let(_only('m'), 'd', _digits('d', 'ssn', key)), 'f', _refill('m', 'f', '0-9'))})"
+    """Permuted among the numbers that can be issued: areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
+    area, group, serial = (f"cast(substr(m, {at}, {n}) AS int)" for at, n in ((1, 3), (5, 2), (8, 4)))
+    state = _feistel(f"{area} - IF({area} > 666, 2, 1)", f"({group} - 1) * 9999 + {serial} - 1", "898", "989901", "'ssn'", key)
+    part = lambda x, n: f"lpad(cast({x} AS string), {n}, '0')"
+    fresh = _let(state, "s", f"concat_ws('-', {part('s.l + IF(s.l >= 665, 2, 1)', 3)}, {part('s.r div 9999 + 1', 2)}, {part('s.r % 9999 + 1', 4)})")
+    return f"IF(m RLIKE '^(000|666|9)' OR m RLIKE '-00-' OR m RLIKE '0000$', m, {fresh})"
 
 
 def _ip(key: str) -> str:
@@ -150,6 +157,11 @@ def _email(key: str) -> str:
     return f"IF(length(m) > {LONGEST_ADDRESS}, m, {fresh})"
 
 
+def _sum(widths: str, after: str, count: str) -> str:
+    """SQL: sum of ``count`` elements of an array behind the first ``after``."""
+    return f"aggregate(slice({widths}, {after} + 1, {count}), 0, (t, x) -> t + x)"
+
+
 def _long_digits_guard(expression: str) -> str:
     return f"IF(length({_only('m')}) > 30, m, {expression})"
 
@@ -158,7 +170,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text
     """All rows and columns of ``docs`` with ``out``: the text with pseudonyms, and ``spans``: what was changed.
 
     ``spans``: array of (kind, start from 1, length) in characters of the given text, in order. Values that fail their
-    check (Luhn sum, octets, calendar, ranges, an address of at most 254 characters) stay. E-mail names come out in lower
+    check (Luhn sum, octets, calendar, ranges, an address of at most 254 characters) stay, as do those of more than 30
+    digits (but for e-mail names). E-mail names come out in lower
     case. A null text stays null with no spans; columns of the names ``out`` and ``spans`` are replaced. Rows are
     handled one by one: repeated rows get equal results, an empty table gives no rows, texts of any length are read whole.
     The key stands in the query's plan, so plans and event logs are as secret as the key.
@@ -176,8 +189,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "text
     found = found.withColumn("_n", F.expr(f"IF(size(_m) = 0, array(), transform(_m, m -> {_let(kind, 'k', f'named_struct({chr(39)}kind{chr(39)}, k, {chr(39)}old{chr(39)}, m, {chr(39)}new{chr(39)}, {changed})')}))"))
     found = found.withColumn("_g", F.when(F.size("_m") > 0, F.split("_t", pattern, -1)))
     fresh = F.expr("IF(size(_m) = 0, _t, concat(array_join(transform(_n, (x, i) -> concat(_g[i], x.new)), ''), _g[size(_n)]))")
-    places = F.expr("""IF(size(_m) = 0, array(), filter(aggregate(sequence(0, size(_n) - 1), named_struct('at', 1, 'all', cast(array() AS array<struct<kind:string,start:int,length:int,same:boolean>>)),
-      (a, i) -> named_struct('at', a.at + length(_g[i]) + length(_n[i].old), 'all', concat(a.all, array(named_struct('kind', _n[i].kind, 'start', a.at + length(_g[i]), 'length', length(_n[i].old), 'same', _n[i].old = _n[i].new))))).all, x -> NOT x.same))""")
-    found = found.withColumns({"_p": F.transform(places, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.length.alias("length")))})
+    found = found.withColumn("_w", F.expr("transform(_n, (x, i) -> length(_g[i]) + length(x.old))"))
+    found = found.withColumn("_b", F.expr(f"aggregate(filter(sequence(0, size(_w) div {BLOCK}), b -> b > 0), array(0), (a, b) -> concat(a, array(element_at(a, -1) + {_sum('_w', f'(b - 1) * {BLOCK}', str(BLOCK))})), a -> a)"))
+    start = f"1 + _b[i div {BLOCK}] + {_sum('_w', f'i div {BLOCK} * {BLOCK}', f'i % {BLOCK}')} + length(_g[i])"
+    places = F.expr(f"IF(size(_m) = 0, array(), transform(filter(transform(_n, (x, i) -> named_struct('kind', x.kind, 'start', {start}, 'length', length(x.old), 'same', x.old = x.new)), x -> NOT x.same), x -> named_struct('kind', x.kind, 'start', x.start, 'length', x.length)))")
+    found = found.withColumn("_p", places)
     found = found.withColumn(out, fresh).withColumn(spans, F.coalesce("_p", F.array().cast("array<struct<kind:string,start:int,length:int>>")))
-    return found.drop("_t", "_m", "_n", "_g", "_p")
+    return found.drop("_t", "_m", "_n", "_g", "_w", "_b", "_p")
