@@ -57,6 +57,7 @@ def on_candidate(rows: DataFrame, ordered: DataFrame) -> DataFrame:
 
     rows: statement, pos, row_no, description, movement, balance.
     """
+    rows = rows.select("statement", "pos", "row_no", "description", "movement", "balance")
     placed = rows.join(ordered.select("statement", "pos", F.col("place").alias("page")), ["statement", "pos"])
     placed = placed.withColumn("seq", F.row_number().over(Window.partitionBy("statement").orderBy("page", "row_no")))
     own = footers.page_totals(chain.derive(placed)).select("statement", F.col("page").alias("place"), "own_debits", "own_credits")

@@ -28,9 +28,8 @@ def scanned(spark, d):
     ev = statements.events(spark, d)
     misread = (s % 6 == 5) & (p == 4) & F.col("credits").isNotNull()
     pages = statements.statement_footers(ev).select("statement", "page", pos.alias("pos"), "debits", F.when(misread, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.col("credits")).alias("credits"), F.when((s + p) % 3 != 0, p).alias("number"))
-    rows = statements.statement_rows(ev).withColumn("pos", pos)
     twice = lambda df: df.unionByName(df.where("statement % 9 = 4 AND page = 3").withColumn("pos", F.lit(1005)))
-    return twice(pages).drop("page"), twice(rows).select("statement", "pos", "row_no", "description", "movement", "balance")
+    return twice(pages), twice(statements.statement_rows(ev).withColumn("pos", pos))
 
 
 def renamed(sql: str, names: dict[str, str]) -> str:
