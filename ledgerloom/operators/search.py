@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf, doc_len: an inverted index as a table, counted before it is shuffled."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("w")).withColumn("doc_len", F.size("w")).select("doc_id", "doc_len", F.explode("w").alias("term"))
-    return rows.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, terms: list[str], k: int = 10, doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The ``k`` best documents for any of ``terms``: score to six decimals, ties to the smaller id."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
@@ -20,6 +13,11 @@ def bm25(docs: DataFrame, terms: list[str], k: int = 10, doc_id: str = "doc_id",
     n, avg_len = base.agg(F.count("*"), F.avg("doc_len")).first()
     wanted = F.array(*[F.lit(t) for t in terms])
     hits = base.select("doc_id", "doc_len", F.explode(F.filter("w", lambda w: F.array_contains(wanted, w))).alias("term")).groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+    return rank_hits(hits, n, avg_len or 0, k, k1, b)
+
+
+def rank_hits(hits: DataFrame, n: int, avg_len: float, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id, score: the ``k`` best of ``hits`` (term, doc_id, tf, doc_len) among n rows of avg_len words; ties to the smaller id."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / (avg_len or 1)))

@@ -13,9 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.sources.readers import CHECKPOINT
 
 
-def page_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored pages as they appear in ``folder``."""
-    return spark.readStream.schema(CHECKPOINT).option("columnNameOfCorruptRecord", "_corrupt").json(folder).where("page IS NOT NULL AND _corrupt IS NULL").drop("_corrupt")
+def page_stream(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """Stored pages as they appear in ``folder``, at most so many files a batch."""
+    return spark.readStream.schema(CHECKPOINT).option("maxFilesPerTrigger", files).option("columnNameOfCorruptRecord", "_corrupt").json(folder).where("page IS NOT NULL AND _corrupt IS NULL").drop("_corrupt")
 
 
 def take_in(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
