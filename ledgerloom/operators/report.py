@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.quantiles import exact_quantiles
+from ledgerloom.sources.shared import workspace
+
 MONEY = "decimal(18,2)"
 
 
@@ -44,11 +47,14 @@ def two_runs(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired_arms(rows: DataFrame, by: str, arm: str, value: str) -> DataFrame:
-    """Over pairs that both arms have: wins of each, and exact median, 95th percentile and sum by arm."""
+    """Over pairs that both arms have: wins of each, and exact median, 95th percentile and mean difference."""
+    spark, path = rows.sparkSession, workspace(rows.sparkSession)
     pairs = rows.groupBy(by).pivot(arm, ["a", "b"]).agg(F.first(value))
-    pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("a") < F.col("b")).alias("a_wins"), F.count_if(F.col("b") < F.col("a")).alias("b_wins"), q("a", 0.5).alias("a_median"), q("b", 0.5).alias("b_median"), q("a", 0.95).alias("a_p95"), q("b", 0.95).alias("b_p95"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_difference"))
+    pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").write.parquet(path)
+    pairs = spark.read.parquet(path)
+    q = {f"{c}_{name}": v for c, values in exact_quantiles(pairs, ["a", "b"], [0.5, 0.95]).items() for name, v in zip(("median", "p95"), values)}
+    sums = pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("a") < F.col("b")).alias("a_wins"), F.count_if(F.col("b") < F.col("a")).alias("b_wins"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_difference"))
+    return sums.withColumns({name: F.lit(v).cast("double") for name, v in q.items()})
 
 
 def census(pages: DataFrame, classes: dict[str, Column]) -> DataFrame:

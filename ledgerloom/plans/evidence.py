@@ -31,8 +31,9 @@ def movement_filter(spark, d):
 @query(with_base("SELECT statement, seq FROM mv WHERE derived = 1250.00 OR derived = (SELECT max(derived) FROM mv)"))
 def amount_filter(spark, d):
     rows = moved(spark, d)
-    top = rows.agg(F.max("derived")).first()[0]
-    return tools.select(rows, amount="1,250").unionByName(tools.select(rows, amount=f"{top:,}")).select("statement", "seq").distinct()
+    top = rows.agg(F.max("derived").alias("derived"))  # one row
+    most = rows.join(F.broadcast(top), "derived").select("statement", "seq")
+    return tools.select(rows, amount="1,250").select("statement", "seq").unionByName(most).distinct()
 
 
 @query(with_base(""", a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1,234.5' WHEN 1 THEN '1234' WHEN 2 THEN 'all' WHEN 3 THEN '12 500.25' ELSE '' END AS given FROM tm)

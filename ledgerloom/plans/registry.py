@@ -175,9 +175,13 @@ def page_verdict(spark, d):
     return reconciled(spark, d).select("statement", "page", "verdict")
 
 
-@query(with_base("""SELECT statement, page FROM vd WHERE delta_check = 'mismatch' AND (debits - before_debits IN (own_debits, own_debits * 100) OR (debits - before_debits) * 100 = own_debits) AND (credits - before_credits IN (own_credits, own_credits * 100) OR (credits - before_credits) * 100 = own_credits)"""))
+@query(with_base(""", hd AS (SELECT statement, page, lost, debits - before_debits AS sd, credits - before_credits AS sc, (own_debits * CASE WHEN lost THEN 100 ELSE 1 END)::DECIMAL(18,2) AS od, (own_credits * CASE WHEN lost THEN 100 ELSE 1 END)::DECIMAL(18,2) AS oc FROM (SELECT *, (statement + page) % 6 = 2 AS lost FROM pf))
+ SELECT statement, page FROM hd WHERE NOT (sd = od AND sc = oc) AND (sd = od OR sd * 100 = od OR sd = od * 100) AND (sc = oc OR sc * 100 = oc OR sc = oc * 100)"""))
 def paradox_x100(spark, d):
-    return reconciled(spark, d).where("paradox").select("statement", "page")
+    totals, lost = footers.page_totals(chained(spark, d)), (F.col("statement") + F.col("page")) % 6 == 2
+    totals = totals.withColumns({c: (F.col(c) * F.when(lost, 100).otherwise(1)).cast("decimal(18,2)") for c in ("own_debits", "own_credits")})  # decimal points of a page not seen
+    pages = footers.with_footers(totals, statements.statement_footers(statements.events(spark, d)))
+    return footers.verdict(footers.delta(footers.cumulative(pages))).where("paradox").select("statement", "page")
 
 
 @query(with_base("SELECT statement, verdict, count(*) AS pages FROM vd GROUP BY ALL"))
@@ -283,7 +287,7 @@ def tokens(spark, d):
     i, f, k = F.floor(F.col("cents") / 100).cast("long").cast("string"), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"), F.col("event_id") % 10
     plain = F.concat(i, F.lit("."), f)
     token = F.when(k == 0, plain).when(k == 1, F.concat(i, F.lit(","), f)).when(k == 2, F.concat(F.lit("1,"), F.lpad(i, 3, "0"), F.lit("."), f)).when(k == 3, F.concat(plain, F.lit("-"))).when(k == 4, F.concat(F.lit("-"), i, F.lit(","), f)).when(k == 5, F.translate(plain, "0123456789.", "٠١٢٣٤٥٦٧٨٩٫")).when(k == 6, F.concat(F.lit("1,"), F.lpad(i, 3, "0"), f)).when(k == 7, F.lit(".,.")).when(k == 8, F.concat(F.lit("12,"), F.lpad(i, 3, "0"))).otherwise(F.concat(F.lit("SAR "), i, F.lit("."), F.substring(f, 1, 1)))
-    return rows.select("event_id", token.alias("token"))
+    return rows.select("event_id", "statement", "page", token.alias("token"))
 
 
 TOKENS_SQL = """, tk0 AS (SELECT event_id, event_id % 10 AS k, (cents // 100)::VARCHAR AS i, lpad((cents % 100)::VARCHAR, 2, '0') AS f FROM tm),
@@ -304,7 +308,7 @@ def token_style(spark, d):
 
 @query(with_base(TOKENS_SQL + ", s AS (SELECT CASE WHEN k IN (0, 2, 3, 5, 9) THEN 'dot' WHEN k = 7 THEN 'none' ELSE 'comma' END AS era, tm.statement, tm.page FROM tk JOIN tm USING (event_id)), c AS (SELECT statement, page, count(*) FILTER (era = 'dot') AS dots, count(*) FILTER (era = 'comma') AS commas FROM s GROUP BY ALL) SELECT statement, page, dots, commas, CASE WHEN dots + commas = 0 THEN 'none' WHEN dots >= 3 * commas THEN 'dot' WHEN commas >= 3 * dots THEN 'comma' ELSE 'mixed' END AS era FROM c"))
 def era_fingerprint(spark, d):
-    rows = tokens(spark, d).join(statements.true_movements(statements.events(spark, d)).select("event_id", "statement", "page"), "event_id").withColumn("s", scalars.token_style(F.col("token")))
+    rows = tokens(spark, d).withColumn("s", scalars.token_style(F.col("token")))
     out = rows.groupBy("statement", "page").agg(F.count_if(F.col("s") == "dot").alias("dots"), F.count_if(F.col("s").startswith("comma")).alias("commas"))
     return out.withColumn("era", F.when(F.col("dots") + F.col("commas") == 0, "none").when(F.col("dots") >= 3 * F.col("commas"), "dot").when(F.col("commas") >= 3 * F.col("dots"), "comma").otherwise("mixed"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import report
+from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.plans.more import CR, contract
 from ledgerloom.plans.registry import chained, moved, query, reconciled, with_base
 from ledgerloom.sources import statements
@@ -102,8 +103,9 @@ def modal_page_size(spark, d):
 
 @query(with_base("SELECT round(quantile_cont(x, 0.01), 6) AS p1, round(quantile_cont(x, 0.05), 6) AS p5, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, round(quantile_cont(x, 0.99), 6) AS p99 FROM (SELECT derived::DOUBLE AS x FROM mv WHERE derived IS NOT NULL)"))
 def percentile_calibration(spark, d):
-    p = F.percentile(F.col("derived").cast("double"), [0.01, 0.05, 0.5, 0.95, 0.99])
-    return moved(spark, d).where("derived IS NOT NULL").agg(p.alias("p")).select(*[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p1", "p5", "p50", "p95", "p99"))])
+    names = ("p1", "p5", "p50", "p95", "p99")
+    values = exact_quantiles(moved(spark, d), ["derived"], [0.01, 0.05, 0.5, 0.95, 0.99])["derived"]
+    return spark.createDataFrame([tuple(values)], ", ".join(f"{n} double" for n in names))
 
 
 @query(with_base("SELECT verdict, reason, count(*) AS pages FROM (SELECT verdict, unnest(list_filter([CASE WHEN jump THEN 'jump' END, CASE WHEN undecided > 0 THEN 'undecided' END, CASE WHEN debits IS NULL THEN 'no footer' END], lambda x: x IS NOT NULL)) AS reason FROM vd) GROUP BY ALL"))
