@@ -53,3 +53,21 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
 def ascii_lower(col):
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Elements of an array that are summed anew for each place; sums of whole blocks are kept.
+BLOCK = 128
+
+
+def _sum(widths: str, after: str, count: str) -> str:
+    return f"aggregate(slice({widths}, {after} + 1, {count}), 0, (t, x) -> t + x)"
+
+
+def block_sums(widths: str) -> str:
+    """SQL: for each BLOCK elements of an array of ints the sum of all before them."""
+    return f"aggregate(filter(sequence(0, size({widths}) div {BLOCK}), b -> b > 0), array(0), (a, b) -> concat(a, array(element_at(a, -1) + {_sum(widths, f'(b - 1) * {BLOCK}', str(BLOCK))})), a -> a)"
+
+
+def sum_before(widths: str, blocks: str, i: str) -> str:
+    """SQL: the sum of the first ``i`` elements, from ``block_sums``; a text with many matches costs in proportion to them."""
+    return f"{blocks}[{i} div {BLOCK}] + {_sum(widths, f'{i} div {BLOCK} * {BLOCK}', f'{i} % {BLOCK}')}"

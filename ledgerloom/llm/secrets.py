@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import settle, small_side
+from ledgerloom.llm.common import block_sums, settle, small_side, sum_before
 
 #: Candidates: a value after an assigning word, a known prefix, or a long run with a digit and a letter.
 #: Values have no upper length; a run is tried at its first character only and never given back, so its cost is its length.
@@ -134,7 +134,8 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), (F.coalesce(F.col(path), F.lit("")) if path else F.lit("")).alias("path"))
     rows = rows.withColumn("m", F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0))).where(F.size("m") > 0)
     rows = rows.withColumn("g", F.split("t", PATTERN, -1)).withColumn("ends", F.expr("transform(m, (x, i) -> length(x) + length(g[i]))"))
-    each = F.expr("transform(m, (x, i) -> struct(x AS raw, right(g[i], 60) AS prior, left(g[i + 1], 40) AS next, aggregate(slice(ends, 1, i), 0, (a, n) -> a + n) + length(g[i]) + 1 AS at))")
+    rows = rows.withColumn("blocks", F.expr(block_sums("ends")))
+    each = F.expr(f"transform(m, (x, i) -> struct(x AS raw, right(g[i], 60) AS prior, left(g[i + 1], 40) AS next, {sum_before('ends', 'blocks', 'i')} + length(g[i]) + 1 AS at))")
     rows = rows.select("doc_id", "path", F.explode(each).alias("c"))
     lead = F.regexp_extract("c.raw", LEAD, 0)
     return rows.select("doc_id", "path", (F.col("c.at") + F.length(lead)).cast("long").alias("start"), F.col("c.raw").alias("raw"), lead.alias("lead"), F.col("c.prior").alias("prior"), F.left(F.col("c.next"), F.lit(reach)).alias("after")).select(

@@ -1,7 +1,9 @@
+import hashlib
 import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -26,7 +28,7 @@ def model(spark, lang):
 
 def run(spark, model, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS length", "2 AS score", "3 AS value")
-    return sorted((r.doc_id, r.start, r.length, r.value, r.secret) for r in secrets.scan(docs, *model).collect())
+    return sorted(((r.doc_id, r.start, r.length, r.value, r.secret) for r in secrets.scan(docs, *model).collect()), key=lambda r: (r[0] is None, r))
 
 
 def test_language_is_counted(spark, lang):
@@ -110,3 +112,20 @@ def test_long_values_are_whole(spark, model, n):
     got = sorted((c.start, c.length, c.value) for c in secrets.candidates(docs).collect())
     assert got == [(text.index(v) + 1, n, v) for v in (*runs, late)]
     assert [s for _, _, _, _, s in run(spark, model, [(1, text, "s")])][:2] == [True, True]
+
+
+def test_places_of_many_candidates(spark):
+    text = "".join(f"k{i}: {hashlib.sha256(str(i).encode()).hexdigest()[: 20 + i % 9]},\n" for i in range(2000))
+    found = secrets.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string"), path=None).collect()
+    assert len(found) >= 1900 and all(text[r.start - 1 : r.start - 1 + r.length] == r.value for r in found)
+    many = spark.createDataFrame([(1, text * 8)], "doc_id long, text string")
+    secrets.candidates(many, path=None).count()
+    began = time.time()
+    assert secrets.candidates(many, path=None).agg(F.sum("start")).first()[0] > 0
+    assert time.time() - began < 20
+
+
+def test_repeated_rows_and_rows_without_id(spark, model):
+    text = "password=Tr7!mQ9#vLp2zX9 end"
+    out = run(spark, model, [(1, text, None), (1, text, None), (None, text, "a")])
+    assert len(out) == 3 * (len(out) // 3) and [r[0] for r in out].count(1) == 2 * (len(out) // 3)
