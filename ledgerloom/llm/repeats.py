@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import settle, text_batches
 
 #: Bytes of text that one step of the rolling hash takes, bytes and windows that a task sorts at a time, rows of a run that is handed on.
-CHUNK, BATCH_BYTES, BATCH_WINDOWS, PASS_ROWS = 1 << 20, 16 << 20, 400_000, 4096
+CHUNK, BATCH_BYTES, BATCH_WINDOWS, PASS_ROWS = 1 << 18, 8 << 20, 200_000, 4096
 #: Bytes of text that fall on one bucket of an exchange, at most.
 BUCKET_BYTES = 4 << 20
 #: Columns of a record and their bytes: leading digit, digest, document, its text, first window, windows less one, mark.
