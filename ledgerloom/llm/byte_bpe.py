@@ -442,7 +442,8 @@ def encode(df: DataFrame, ranks_file: bytes, pattern: str, text: str = "text", i
 
     ``ranks_file``: the bytes of a rank file (a vocabulary is bounded); ``pattern`` splits a text into pieces.
     A null or empty text has no ids. Rows are handled one by one, so repeated rows and extra columns pass
-    through; a column of the name ``ids`` is replaced.
+    through; a column of the name ``ids`` is replaced. Texts of any length are read whole; a piece's table grows with the
+    piece, not with the text.
     """
     shared, drop = df.sparkSession.sparkContext.broadcast(vocabulary(ranks_file)), () if keep_text else (text,)
 

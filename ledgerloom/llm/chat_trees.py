@@ -99,7 +99,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def linear_tree(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """conv, node, parent, role, text: each turn answers the one before it; equal turns go by role, then text."""
+    """conv, node, parent, role, text: each turn answers the one before it; equal turns go by role, then text.
+
+    Null roles and texts are empty; rows without conversation are left out by ``format_trees``.
+    """
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = conversations.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.row_number().over(order).cast("long"))
@@ -110,7 +113,7 @@ def format_trees(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """conv, path_rank, formatted, loss: the ``best`` paths of each reply tree as conversations.
 
     nodes: conv, node, parent, role, text and optionally score. Null roles and texts are empty; an empty table
-    gives no rows; extra columns are ignored.
+    gives no rows; extra columns are ignored; nodes without conversation or node are left out. Texts of any length are whole.
     """
     nodes = settle(nodes)
     tree = nodes.select(F.col("conv").alias("tree"), "node", "parent", F.col("score") if "score" in nodes.columns else F.lit(0.0).alias("score"))

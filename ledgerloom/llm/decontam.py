@@ -69,7 +69,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str =
 
     A word is hit if it stands inside any occurrence of any window. Null and empty texts have no words; null and
     empty items have no windows; items without id are left out; repeated items count once; repeated documents
-    get equal results row by row. Columns of ``docs`` named n_words, n_hit or items are replaced.
+    get equal results row by row. Texts of any length are read whole. Columns of ``docs`` named n_words, n_hit or items
+    are replaced; an empty table gives no rows.
     """
     key = {"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
     docs = docs.drop("n_words", "n_hit", "items").withColumns(key)

@@ -93,10 +93,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, shard_rows: int =
     """query_id, rank (int from 1), vec_id, score: the k best of ``vectors`` for each query, but for its own id.
 
     Both: vec_id, q of one length (others take no part with each other). Every candidate shard meets every block of
-    queries; both are dealt by a hash of the row, so no task grows with the input. A row is copied once for each shard or
+    queries; both are dealt by a hash of the row, so only rows that are equal in id and vector go to one task together. A row is copied once for each shard or
     block it meets, which is what comparing a share of all rows with all rows needs. Repeated candidates each count;
     repeated queries count once; queries of one id share a list. Fewer candidates than k give shorter lists; empty
-    tables give no rows. A score that is no long is an error.
+    tables give no rows. A score that is no long is an error: of one row with huge finite components, too. Vectors of any
+    length are whole; a shard's memory grows with their length times ``shard_rows``, which long ones want smaller.
     """
     shards, blocks = grid(vectors.count(), queries.count(), shard_rows, block_rows)
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "q"), F.lit(n)).cast("int")

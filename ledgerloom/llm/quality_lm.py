@@ -211,7 +211,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     Trusted are documents with quality 1 among ``labels`` (and no other value). One fold of them sets each language's
     threshold, the others train. A language (null is one) of fewer than OWN held-out trusted texts takes the threshold
     of all; without any, everything with text is kept. Null and empty texts have no perplexity and are not kept. Columns
-    named perplexity, threshold or kept are replaced.
+    named perplexity, threshold or kept are replaced. Rows are judged one by one: those that repeat a doc_id each get the
+    result of their own text, equal rows equal results; a row without doc_id is judged, but never trusted. Texts of any
+    length are read whole. An empty table gives no rows.
     """
     docs = docs.drop("perplexity", "threshold", "kept")
     marks = labels.where(f"{doc_id} IS NOT NULL AND {quality} IS NOT NULL").groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(quality)).alias("q"))

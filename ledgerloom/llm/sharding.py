@@ -115,8 +115,8 @@ def histogram_shards(docs: DataFrame, shards: int = 8, text: str = "text", doc_i
     """All rows and columns of ``docs`` with size (UTF-8 bytes + 1), shard (int) and slot (long, gapless from 0).
 
     Slots follow (text key, doc_id) within a shard. A null text counts as an empty one; a null doc_id comes
-    first. Rows equal in text and doc_id can't be told apart and stay in one shard. An empty table gives no
-    rows. Columns of ``docs`` named size, shard or slot are replaced.
+    first. Rows equal in text and doc_id can't be told apart and stay in one shard. Texts of any length are whole;
+    one that is larger than a shard's share fills it alone. An empty table gives no rows. Columns of ``docs`` named size, shard or slot are replaced.
 
     The exchange goes by runs: ranges of the sorted order of about ``rows_per_run`` rows or RUN_BYTES, so that no
     task holds a shard; the rows of every more frequent text are cut into up to PARTS runs at quantiles of doc_id.

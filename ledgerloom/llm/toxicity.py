@@ -25,6 +25,8 @@ from ledgerloom.llm.common import settle, text_batches
 BUCKETS = 1 << 20
 #: Largest number of positive and of unlabelled texts that a model is fitted on.
 POSITIVES, UNLABELLED = 4_000, 12_000
+#: Bounds of the class prior in the fit.
+PRIORS = (1e-3, 0.9)
 #: Likelihood ratio that a feature must reach to count as more frequent in positives; about one in 10^4 by chance.
 SURPRISE = 17.0
 #: Length of the word beginnings that are features beside the words.
@@ -83,9 +85,11 @@ def risk(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, np.ndarr
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 300, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Fit the classifier on features of texts by full-batch steps (Adam) on the non-negative risk.
 
-    Only features that are markedly more frequent in positives than in unlabelled texts are weighted; without positives or unlabelled texts every score is the prior.
+    Only features that are markedly more frequent in positives than in unlabelled texts are weighted; without positives or
+    unlabelled texts every score is the prior. A prior outside PRIORS is taken as the nearer end: below it a handful of
+    unlabelled texts would hold all toxic ones, so the risk can't be told from noise.
     """
-    prior = float(np.clip(prior, 1e-3, 0.9))
+    prior = float(np.clip(prior, *PRIORS))
     base = Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return base
