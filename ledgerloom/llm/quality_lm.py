@@ -3,13 +3,15 @@
 An n-gram of up to seven bytes is one long, so counts, continuation counts, discounts, back-off weights and the
 interpolation are joins and aggregations of sharded tables over all trusted text. Logarithms are kept as whole numbers
 (2^20 parts), so a document's sum is the same in whatever order it is added. The finished tables score documents from
-memory while they are small (they are counted first), and by joins beyond that, with identical perplexities.
+memory while they are small (they are counted first). Larger ones are cut by the two bytes before the byte in question
+into ranges that fit, texts are read once for each range, and only sums are joined; perplexities are identical.
 A document is kept if its perplexity is at most a high quantile of held-out trusted text in its language.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import settle, small_side, text_batches
 from ledgerloom.llm.lookup import Lookup
+from ledgerloom.llm.near_dedup import dealt_join
 
 #: Bytes of the longest n-gram; at most 7.
 ORDER = 5
@@ -28,6 +31,8 @@ ORDER = 5
 KEEP, FOLDS, OWN = 0.995, 5, 20
 #: Rows of all tables together up to which a copy goes to every executor (at 12 bytes each, and up to 2.8 times that).
 IN_MEMORY = 2_000_000
+#: Rows of the tables of one range beyond IN_MEMORY; two bytes with more rows than that make a range of their own.
+RANGE = 4_000_000
 #: Parts of one in a stored logarithm, n-grams taken at once, and counted n-grams that a task holds.
 PARTS, AT_ONCE, HELD = 1 << 20, 1 << 18, 1 << 19
 UNKNOWN = -round(float(np.log(256)) * PARTS)
@@ -111,10 +116,13 @@ def _parts(x: Column) -> Column:
 
 
 class Scorer:
-    """The tables of ``train`` in memory: for each n the keys and logarithms of both."""
+    """The tables of ``train`` in memory: for each n the keys and logarithms of both.
 
-    def __init__(self, tables: dict[int, tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]]):
-        self.order = max(tables)
+    It adds up the bytes whose two predecessors are from ``low`` to ``high``, and needs only the rows for those.
+    """
+
+    def __init__(self, tables: dict[int, tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]], low: int = 0, high: int = 65535):
+        self.order, self.low, self.high = max(tables), low, high
         self.p = {n: Lookup(*pair) for n, (pair, _) in tables.items()}
         self.g = {n: Lookup(*pair) for n, (_, pair) in tables.items()}
 
@@ -127,30 +135,64 @@ class Scorer:
             found[miss] = self.g[n].get(few >> 8, 0) + lower
         return found
 
+    def of_range(self, grams: np.ndarray) -> np.ndarray:
+        """log_p of the longest n-grams, 0 outside the range."""
+        if (self.low, self.high) == (0, 65535):
+            return self.log_p(grams, self.order)
+        two = (grams >> 8) & 0xFFFF
+        here = np.flatnonzero((two >= self.low) & (two <= self.high))
+        out = np.zeros(len(grams), np.int64)
+        out[here] = self.log_p(grams[here], self.order)
+        return out
+
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text, with its end: the sum of log p over its bytes, in parts of PARTS, and how many they are."""
+        """Of each text, with its end: the sum of log p over its bytes in the range, in parts of PARTS, and how many bytes it has."""
         flat, starts, ends = flattened(texts, self.order)
         edges = np.concatenate([starts, ends])
         order = np.argsort(edges, kind="stable")
         upto, so_far, last = np.zeros(len(edges), np.int64), 0, len(flat) - self.order + 1
         for at in range(0, max(last, 0), AT_ONCE):
             end = min(at + AT_ONCE, last)
-            sums = so_far + np.concatenate([[0], np.cumsum(self.log_p(grams_of(flat, at, end, self.order), self.order))])
+            sums = so_far + np.concatenate([[0], np.cumsum(self.of_range(grams_of(flat, at, end, self.order)))])
             here = order[np.searchsorted(edges, at, "left", order) : np.searchsorted(edges, end, "right", order)]
             upto[here] = sums[edges[here] - at]
             so_far = sums[-1]
         return upto[len(starts) :] - upto[: len(starts)], ends - starts
 
 
-def _shared(spark: SparkSession, tables: dict[int, tuple[DataFrame, DataFrame]], in_memory: int) -> Broadcast | None:
-    """The tables as numpy arrays for every executor, if together they have at most ``in_memory`` rows."""
-    if sum(t.count() for pair in tables.values() for t in pair) > in_memory:
-        return None
+def _loaded(tables: dict[int, tuple[DataFrame, DataFrame]], low: int = 0, high: int = 65535) -> Scorer:
+    """The rows that a range needs, as numpy arrays; tables of fewer than three bytes have at most 66,049 and are whole."""
     loaded = {}
     for n, (p, g) in tables.items():
+        if n > 2:
+            p, g = p.where(_two(F.shiftright("gram", 8)).between(low, high)), g.where(_two(F.col("context")).between(low, high))
         both = (t.toArrow() for t in (p.select("gram", "lp"), g.select("context", "lg")))
         loaded[n] = tuple((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in both)
-    return spark.sparkContext.broadcast(Scorer(loaded))
+    return Scorer(loaded, low, high)
+
+
+def _two(context: Column) -> Column:
+    """The last two bytes of a context."""
+    return context.bitwiseAND(F.lit(0xFFFF))
+
+
+def _ranges(tables: dict[int, tuple[DataFrame, DataFrame]], most: int) -> list[tuple[int, int]]:
+    """Ranges of two bytes that cover all of them, each with at most ``most`` rows unless it is one value."""
+    keys = [k for n, (p, g) in tables.items() if n > 2 for k in (p.select(_two(F.shiftright("gram", 8)).alias("k")), g.select(_two(F.col("context")).alias("k")))]
+    ranges, low, held = [], 0, 0
+    for r in reduce(DataFrame.unionByName, keys).groupBy("k").count().orderBy("k").collect() if keys else []:  # at most 65,536
+        if held and held + r["count"] > most:
+            ranges.append((low, r.k - 1))
+            low, held = r.k, 0
+        held += r["count"]
+    return [*ranges, (low, 65535)]
+
+
+def _shared(spark: SparkSession, tables: dict[int, tuple[DataFrame, DataFrame]], in_memory: int) -> Broadcast | None:
+    """The tables as numpy arrays for every executor, if together they have at most ``in_memory`` rows."""
+    if sum(t.count() for pair in tables.values() for t in pair) > in_memory:
+        return None
+    return spark.sparkContext.broadcast(_loaded(tables))
 
 
 def _sums_here(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
@@ -168,29 +210,34 @@ def _sums_here(docs: DataFrame, shared: Broadcast, text: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sum", T.LongType()), T.StructField("_n", T.LongType())]))
 
 
-def _sums_joined(docs: DataFrame, tables: dict, text: str) -> DataFrame:
-    """As ``_sums_here`` by joins with the sharded tables; texts are known by their SHA-256 meanwhile."""
-    order = max(tables)
-    docs = docs.withColumn("_h", F.sha2(text, 256))
-    unique = docs.where(F.length(text) > 0).select("_h", F.col(text).alias("t")).dropDuplicates(["_h"])
+def _sums_by_range(docs: DataFrame, tables: dict, text: str) -> DataFrame:
+    """As ``_sums_here``, by one reading of the texts for each range of the tables; texts are known by their SHA-256.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                flat, _, ends = flattened([t], order)
-                for at in range(0, int(ends[0]), AT_ONCE):
-                    keys, n = np.unique(grams_of(flat, at, min(at + AT_ONCE, int(ends[0])), order), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["_h", "gram", "n"])
-
-    rows = settle(unique.mapInArrow(run, "_h string, gram long, n long"))
-    grams = rows.select("gram").distinct().withColumn("lp", F.lit(UNKNOWN))
-    for n in range(1, order + 1):
-        p, g = tables[n]
-        grams = grams.withColumn("k", F.col("gram") % F.lit(1 << 8 * n)).withColumn("c", F.shiftright("k", 8))
-        grams = grams.join(p.select(F.col("gram").alias("k"), F.col("lp").alias("own")), "k", "left").join(g.select(F.col("context").alias("c"), "lg"), "c", "left")
-        grams = settle(grams.select("gram", F.coalesce("own", F.col("lp") + F.coalesce("lg", F.lit(0))).alias("lp")))
-    sums = rows.join(grams, "gram").groupBy("_h").agg(F.sum(F.col("n") * F.col("lp")).alias("_sum"), F.sum("n").alias("_n"))
-    return docs.join(sums, "_h", "left").drop("_h")
+    What is written is one row of sums for each document and range. Documents of a frequent text are dealt to several
+    tasks by the part of ``docs`` they stand in.
+    """
+    spark = docs.sparkSession
+    docs = docs.withColumn("_h", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+
+    def run_with(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = shared.value
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                sums, n = scorer.sums(texts)
+                none = np.array([not t for t in texts], bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64(), mask=none), pa.array(n, pa.int64(), mask=none)], ["_h", "_sum", "_n"])
+
+        return run
+
+    parts = []
+    for low, high in _ranges(tables, RANGE):
+        shared = spark.sparkContext.broadcast(_loaded(tables, low, high))
+        parts.append(settle(docs.select("_h", text).mapInArrow(run_with(shared), "_h binary, _sum long, _n long")).withColumn("_at", F.lit(len(parts))))
+        shared.destroy()
+    total = reduce(Column.__add__, [F.max(F.when(F.col("_at") == i, F.col("_sum"))) for i in range(len(parts))])  # equal texts have equal sums
+    sums = settle(reduce(DataFrame.unionByName, parts).groupBy("_h").agg(total.alias("_sum"), F.max("_n").alias("_n"), F.count_if(F.col("_at") == 0).alias("count")))
+    return dealt_join(docs.withColumn("_from", F.spark_partition_id()), sums.drop("count"), "_h", "_from", counts=sums.select("_h", "count")).drop("_h", "_from")
 
 
 def perplexity(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]], text: str = "text", out: str = "perplexity", in_memory: int = IN_MEMORY) -> DataFrame:
@@ -201,7 +248,7 @@ def perplexity(docs: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]],
 def _scored(docs: DataFrame, tables: dict, shared: Broadcast | None, text: str, out: str = "perplexity") -> DataFrame:
     text_batches(docs.sparkSession)
     docs = docs.drop(out)
-    sums = _sums_joined(docs, tables, text) if shared is None else _sums_here(docs, shared, text)
+    sums = _sums_by_range(docs, tables, text) if shared is None else _sums_here(docs, shared, text)
     return sums.withColumn(out, F.round(F.exp(-F.col("_sum") / (F.col("_n") * float(PARTS))), 6)).drop("_sum", "_n")
 
 
@@ -213,7 +260,8 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     of all; without any, everything with text is kept. Null and empty texts have no perplexity and are not kept. Columns
     named perplexity, threshold or kept are replaced. Rows are judged one by one: those that repeat a doc_id each get the
     result of their own text, equal rows equal results; a row without doc_id is judged, but never trusted. Texts of any
-    length are read whole. An empty table gives no rows.
+    length are read whole. An empty table gives no rows. Beyond ``in_memory`` table rows texts are read once for each
+    RANGE of them.
     """
     docs = docs.drop("perplexity", "threshold", "kept")
     marks = labels.where(f"{doc_id} IS NOT NULL AND {quality} IS NOT NULL").groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(quality)).alias("q"))

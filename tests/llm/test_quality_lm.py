@@ -64,6 +64,27 @@ def test_tables_are_the_brute_model_on_both_paths(spark, corpus):
         assert here[i] == (pytest.approx(perplexity(p, t, 4), rel=2e-6) if t else None)
 
 
+def test_ranges_of_the_tables_add_up(spark, corpus, monkeypatch):
+    """Ranges cover all pairs of bytes once, hold what they may and give the same sums, for frequent texts and none, too."""
+    tables = q.train(spark.createDataFrame([(t,) for t in corpus], "text string"), 5)
+    texts = [corpus[0], "zzz \x00 ¿?", "the the the", "漢" * 50, "", None, " ".join(corpus) * 10] + [corpus[1]] * 1200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5, "doc_id")
+    whole = {r.doc_id: r.perplexity for r in q.perplexity(docs, tables).collect()}
+    rows = sum(t.count() for n, pair in tables.items() if n > 2 for t in pair)
+    monkeypatch.setattr(q, "RANGE", rows // 4)
+    ranges = q._ranges(tables, q.RANGE)
+    assert len(ranges) > 2 and [low for low, _ in ranges] == [0, *(high + 1 for _, high in ranges[:-1])] and ranges[-1][1] == 65535
+    large = [sum(len(x[0]) for n, pair in _rows(tables, *r).items() if n > 2 for x in pair) for r in ranges]
+    assert max(large) <= q.RANGE and sum(large) == rows
+    assert {r.doc_id: r.perplexity for r in q.perplexity(docs, tables, in_memory=0).collect()} == whole
+    assert q.perplexity(docs.limit(0), tables, in_memory=0).count() == 0
+    assert q._ranges({n: tables[n] for n in (1, 2)}, 1) == [(0, 65535)]
+
+
+def _rows(tables, low, high):
+    return {n: [(x.keys[x.keys >= 0],) for x in pair] for n, pair in ((n, (s.p[n], s.g[n])) for s in [q._loaded(tables, low, high)] for n in tables)}
+
+
 def test_texts_longer_than_what_is_taken_at_once(spark, corpus, monkeypatch):
     tables = q.train(spark.createDataFrame([(t,) for t in corpus], "text string"), 4)
     scorer = q._shared(spark, tables, q.IN_MEMORY).value
