@@ -173,11 +173,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")))
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = settle(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")))
-        labels = settle(labels.join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
-        edges = dealt_join(edges, parent, "a", "b").select(F.col("p").alias("x"), "b")
-        edges = edges.join(parent.withColumnRenamed("a", "b"), "b").select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
-        edges = settle(edges.where("a < b").distinct())
+        parent = settle(dealt_join(parent, up, "p", "a").select("a", F.col("pp").alias("p")))  # every parent is a node of an edge, too
+        sizes = settle(labels.groupBy("comp").count())
+        now = sizes.select("comp").join(parent.withColumnRenamed("a", "comp"), "comp", "left").select("comp", F.coalesce("p", "comp").alias("p"))
+        labels = settle(dealt_join(labels, now, "comp", "id", counts=sizes).select("id", F.col("p").alias("comp")))
+        ends = dealt_join(edges, parent, "a", "b").select(F.col("p").alias("x"), "b")
+        ends = dealt_join(ends, parent.withColumnRenamed("a", "b"), "b", "x", edges).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b"))
+        edges = settle(ends.where("a < b").distinct())
     return labels
 
 
@@ -209,7 +211,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     drawn = settle(docs.mapInArrow(_sketches, "id long, n long, print binary, regs binary"))
     some = drawn.where("id IS NOT NULL AND n > 0")
-    first = settle(some.groupBy("print").agg(F.min("id").alias("rep")))
+    first = settle(some.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("count")))
     reps = some.join(first.select("print", F.col("rep").alias("id")), ["print", "id"], "left_semi").select("id", "n", "regs").distinct()
     reps = settle(reps)
     repeated = bool(some.groupBy("id", "print").count().where("count > 1").head(1))
@@ -271,5 +273,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if more.head(1):
         labels = components(edges.unionByName(more))
     of = first.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("comp", "rep").alias("comp"))
-    out = drawn.select("id", "n", F.when(F.col("id").isNotNull(), F.col("print")).alias("print")).join(of, "print", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce(F.coalesce("comp", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    out = dealt_join(some.select("print", "id", "n"), of, "print", "id", counts=first.select("print", "count")).select("id", "n", "comp")
+    out = out.unionByName(drawn.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("comp")))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("comp") == F.col("id"), F.lit(True)).alias("kept"))
