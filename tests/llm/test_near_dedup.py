@@ -67,16 +67,6 @@ def test_frequent_keys_are_dealt_to_several_tasks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
-def test_copies_beyond_a_task_s_share(spark, monkeypatch):
-    """Prints and parents that are frequent, beside texts without words and rows without doc_id."""
-    monkeypatch.setattr(nd, "HOT", 4)
-    monkeypatch.setattr(nd, "PIECES", 3)
-    words = [f"c{i}" for i in range(40)]
-    rows = [(i, " ".join(words)) for i in range(30, 10, -1)] + [(40 + i, " ".join([*words, f"y{i}"])) for i in range(12)]
-    rows += [(70 + i, t) for i, t in enumerate(["", None, " "] * 3)] + [(None, " ".join(words)), (None, None), (90, "alone in here")]
-    assert run(spark, rows) == brute(rows)
-
-
 def test_different_words_of_a_regular_form_are_not_linked(spark):
     """Thue-Morse words collide under every polynomial hash modulo a power of two."""
     one, other = "a", "b"
