@@ -99,6 +99,16 @@ def test_hits_that_no_row_of_the_chain_stands_for(spark):
     assert sorted((r.page, r.n, r.seq, r.why) for r in patterns.citable(hits, chain).collect()) == [(1, 1, 10, None), (1, 2, None, "shifted"), (1, 3, None, "unread balance"), (2, 1, None, "beyond")]
 
 
+def test_questions_of_one_pattern_are_dealt_out_behind_all_shuffles(spark):
+    rows = spark.createDataFrame([(1, 1, n, D(5) if n % 3 else None, f"fee {n}") for n in range(1, 13)], "statement long, page int, n int, balance decimal(18,2), text string")
+    chain = spark.createDataFrame([(1, 1, 10 + n, f"fee {n}") for n in range(1, 9)], "statement long, page int, seq int, text string")
+    asked = spark.createDataFrame([(q, "fee") for q in range(500)] + [(500, "fee 7"), (501, "fee 12"), (502, "no fee at all, nowhere"), (503, ""), (504, None), (500, "fee 7")], "question int, pattern string")
+    before_questions = patterns.judged(patterns.hits_of(patterns.by_pattern(asked), patterns.standing(rows, chain)))
+    assert before_questions.count() <= 12 * patterns.LISTS + 2
+    got = sorted(map(repr, patterns.citations(asked, rows, chain).collect()))
+    assert got == sorted(map(repr, patterns.citable(patterns.rows_with_patterns(asked, rows), chain).collect())) and len(got) == 12 * 500 + 2
+
+
 def test_ranges_by_scanning(spark):
     r, data, want = random.Random(4), [], {}
     for s in range(40):
