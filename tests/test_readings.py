@@ -109,6 +109,15 @@ def test_questions_of_one_pattern_are_dealt_out_behind_all_shuffles(spark):
     assert got == sorted(map(repr, patterns.citable(patterns.rows_with_patterns(asked, rows), chain).collect())) and len(got) == 12 * 500 + 2
 
 
+def test_absence_from_hits_of_patterns_alone(spark):
+    rows = spark.createDataFrame([("a fee",), ("two fees",), (None,)], "text string")
+    asked = spark.createDataFrame([(q, "fee") for q in range(40)] + [(40, "two"), (41, "three"), (42, ""), (43, None), (40, "two")], "question int, pattern string")
+    hits = patterns.hits_of(asked.select("pattern").distinct(), rows)
+    assert hits.count() == 3  # not one for each question
+    got = {r.question: (r.hits, r.scanned, r.status) for r in patterns.absence(asked, hits, rows).collect()}
+    assert got == {q: (2, 3, "several") for q in range(40)} | {40: (1, 3, "single"), 41: (0, 3, "absent"), 42: (0, 3, "absent"), 43: (0, 3, "absent")}
+
+
 def test_ranges_by_scanning(spark):
     r, data, want = random.Random(4), [], {}
     for s in range(40):
