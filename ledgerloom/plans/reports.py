@@ -116,7 +116,7 @@ def gate_summary(spark, d):
 
 @query(with_base(CR + "SELECT statement, array_to_string(list_sort(list_distinct(list(seq))), ',') AS used FROM (SELECT statement, seq FROM mv WHERE derived > 150 UNION ALL SELECT statement, seq FROM cp WHERE state = 'suspect') GROUP BY 1"))
 def used_rows(spark, d):
-    rows = moved(spark, d).where("derived > 150").select("statement", "seq").unionByName(contract(spark, d).where("state = 'suspect'").select("statement", "seq"))
+    rows = contract(spark, d).where("NOT opening AND derived > 150 OR state = 'suspect'")
     return rows.groupBy("statement").agg(F.array_join(F.array_sort(F.collect_set("seq")), ",").alias("used"))
 
 

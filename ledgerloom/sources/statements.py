@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(18,2)"
 OPENING_CENTS = 100_000
+#: Events that one task takes at most, and how few are worth one. In memory a row swells to hundreds of bytes in each sort, while a shuffle packs it to some 25.
+TASK_ROWS, LEAST_ROWS = 100_000, 20_000
 #: What a movement of each kind is called; these are this library's own words.
 LABELS = {"purchase": "Card payment", "error": "Service fee", "view": "Standing order", "click": "Transfer received", "signup": "Deposit"}
 CREDITS = ("click", "signup")
@@ -25,10 +27,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def by_user(ev: DataFrame) -> DataFrame:
+    """``ev`` dealt by user to tasks of about TASK_ROWS rows at most, as all that follows stays with its user's statement.
+
+    Adaptive execution goes by packed bytes and would give millions of rows to a task; a given number of tasks is kept.
+    """
+    n, cores = ev.count(), ev.sparkSession.sparkContext.defaultParallelism
+    return ev.repartition(max(1, -(-n // TASK_ROWS), min(cores, -(-n // LEAST_ROWS))), "user_id")
+
+
 def true_movements(ev: DataFrame) -> DataFrame:
     """statement, n, page, row_no, event_id, day, label, credit, cents, balance_cents: what really happened."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = ev.select("user_id", "ts", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    rows = by_user(ev.select("user_id", "ts", "event_id", "event_type", "value"))
+    rows = rows.select("user_id", "ts", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
     rows = rows.withColumn("n", F.row_number().over(order)).withColumn("credit", F.col("event_type").isin(*CREDITS))
     signed = F.when(F.col("credit"), F.col("cents")).otherwise(-F.col("cents"))
     rows = rows.withColumn("balance_cents", OPENING_CENTS + F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as s
 from ledgerloom.functions import texts
 from ledgerloom.operators import audits, chain, footers, ledger, search, tools
-from ledgerloom.sources import readers
+from ledgerloom.sources import readers, statements
 from ledgerloom.streaming import pages
 
 ROW = "statement long, seq int, page int, description string, movement decimal(18,2), balance decimal(18,2)"
@@ -192,3 +192,11 @@ def test_repairs_take_the_lesser_candidate_first_and_leave_equal_neighbours(spar
     assert repaired((None, "55.62"), ("5", "51.62"), ("0", "50.62"))[1] == ("51.62", False)  # the next balance would not move
     assert repaired((None, "55.00"), ("5", "10.00"), ("30", "30.00"))[1] == ("60.00", True)
     assert repaired((None, "55.00"), ("5", "50.00"), ("5", "55.00"))[1] == ("60.00", True)  # rows that close are tried, too
+
+
+def test_tasks_of_statements_stay_small_as_events_grow(spark):
+    ev = lambda n: spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 997 AS user_id", "'click' AS event_type", "1.0D AS value")
+    for n, tasks in ((10, 1), (70_000, 4), (1_150_000, 12)):
+        rows = statements.true_movements(ev(n)).select("statement").withColumn("task", F.spark_partition_id())
+        assert rows.groupBy("task").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 2 * -(-n // tasks)
+        assert rows.groupBy("statement").agg(F.count_distinct("task").alias("k")).agg(F.max("k")).first()[0] == 1
