@@ -35,13 +35,15 @@ def lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """``words`` with line (from 1 on each page): a word joins a line up to ``tolerance`` below the line's first word.
 
     The first word rules, not the last one, so a drifting line is cut where neighbours in height would be one cluster.
-    The fold that finds each page's first words runs over its distinct heights.
+    The fold that finds each page's first words runs over its distinct heights; a page's words are held together for it,
+    so they are made and moved once.
     """
     page = ["statement", "page"]
-    heights = words.groupBy(page).agg(F.array_sort(F.collect_set("top")).alias("_tops"))
+    rest = [c for c in words.columns if c not in page]
+    whole = words.groupBy(page).agg(F.array_sort(F.collect_set("top")).alias("_tops"), F.collect_list(F.struct(*rest)).alias("_words"))
     first = F.aggregate(F.slice("_tops", F.lit(2), F.size("_tops")), F.slice("_tops", 1, 1), lambda acc, x: F.when(x - F.element_at(acc, -1) > tolerance, F.concat(acc, F.array(x))).otherwise(acc))
-    firsts = heights.select(*page, first.alias("_firsts"))
-    return words.join(firsts, page).withColumn("line", F.size(F.filter("_firsts", lambda a: a <= F.col("top")))).drop("_firsts")
+    each = whole.select(*page, first.alias("_firsts"), "_words").select(*page, "_firsts", F.explode("_words").alias("_word"))
+    return each.select(*page, "_firsts", "_word.*").withColumn("line", F.size(F.filter("_firsts", lambda a: a <= F.col("top")))).select(*words.columns, "line")
 
 
 def _begins(text: Column, words: tuple[str, ...]) -> Column:
@@ -82,18 +84,19 @@ def rows_of_words(words: DataFrame, layout: Layout = Layout()) -> DataFrame:
     A row's line holds debit, credit and balance; its movement is the credit if that isn't zero, else the debit. Lines of
     text on the same page above it, back to the row before, come before its own words; notes below it, up to the next row
     of the statement, follow. Text below a page's last row belongs to nothing. Descriptions are put in logical order and
-    cut at ``longest`` characters, again after each note.
+    cut at ``longest`` characters, again after each note. Lines are grouped by the row that they belong to, in one pass.
     """
     all_lines = printed_lines(words, layout)
-    number = F.col("above") + F.when(F.col("kind") == "row", 1).otherwise(0)
-    texts = all_lines.where("kind = 'text'").select("statement", "page", (F.col("above") + 1).alias("row_no"), F.struct("line", "text").alias("t")).groupBy("statement", "page", "row_no").agg(F.array_sort(F.collect_list("t")).alias("pending"))
-    notes = all_lines.where("kind = 'note'").select("statement", F.col("above").alias("row_no"), F.struct("page", "line", "logical").alias("t")).groupBy("statement", "row_no").agg(F.array_sort(F.collect_list("t")).alias("notes"))
-    rows = all_lines.where("kind = 'row'").withColumn("row_no", number).join(texts, ["statement", "page", "row_no"], "left").join(notes, ["statement", "row_no"], "left")
+    is_row, is_text, is_note = (F.col("kind") == k for k in ("row", "text", "note"))
+    belongs = all_lines.where(is_row | is_text | is_note).withColumn("row_no", F.col("above") + F.when(is_note, 0).otherwise(1))
+    pending, notes = F.struct("page", "line", "text"), F.struct("page", "line", "logical")
+    rows = belongs.groupBy("statement", "row_no").agg(F.max_by(F.struct("page", "day", "cells", "said"), F.when(is_row, 1)).alias("r"), F.array_sort(F.collect_list(F.when(is_text, pending))).alias("pending"), F.array_sort(F.collect_list(F.when(is_note, notes))).alias("notes"))
+    rows = rows.where("r IS NOT NULL").select("statement", "row_no", "r.*", "notes", F.filter("pending", lambda t: t.page == F.col("r.page")).alias("pending"))
     value = lambda i: F.regexp_replace(F.get("cells", F.lit(i)), ",", "").try_cast(MONEY)
     credited = value(1) != 0
-    words_ = F.array_join(F.concat(F.coalesce(F.col("pending.text"), F.array().cast("array<string>")), F.col("said")), " ")
+    words_ = F.array_join(F.concat(F.col("pending.text"), F.col("said")), " ")
     rows = rows.withColumn("_said", logical_order(words_))
     own = F.substring("_said", 1, layout.longest)
-    full = F.aggregate(F.coalesce(F.col("notes.logical"), F.array().cast("array<string>")), own, lambda acc, n: _stripped(F.substring(F.concat(acc, F.lit(" "), n), 1, layout.longest)))
+    full = F.aggregate(F.col("notes.logical"), own, lambda acc, n: _stripped(F.substring(F.concat(acc, F.lit(" "), n), 1, layout.longest)))
     description = F.when(full != "", full)
     return rows.select("statement", "page", F.col("row_no").cast("int").alias("row_no"), F.col("day").alias("date"), F.when(credited, value(1)).otherwise(value(0)).alias("movement"), value(2).alias("balance"), description.alias("description"), F.when(credited, F.get("cells", F.lit(1))).otherwise(F.get("cells", F.lit(0))).alias("raw_movement"), F.get("cells", F.lit(2)).alias("raw_balance"))

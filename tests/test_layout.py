@@ -179,3 +179,9 @@ def test_visual_order_by_characters(spark):
 def test_visual_order_twice_gives_the_letters_back():
     for text in ("ﺔﻤﺳﺍ 12 ab", "abc", "אב גד 7"):
         assert in_logical_order(in_logical_order(text)) == unicodedata.normalize("NFKC", text)
+
+
+def test_words_are_made_and_moved_once(spark):
+    words = spark.createDataFrame([(1, 1, 10.0, 40.0, "2024/01/02"), (1, 1, 10.0, 320.0, "1.00")], "statement long, page int, top double, x double, text string")
+    plan = boxes.rows_of_words(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") == 1
