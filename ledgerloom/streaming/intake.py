@@ -46,8 +46,11 @@ def take(pages: DataFrame, batch: int, folder: str) -> None:
     one = Window.partitionBy("statement", "page").orderBy(F.col("error").isNotNull(), "stamp", F.to_json(F.struct("rows", "footer")))
     fresh = pages.where("statement IS NOT NULL AND page IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("statement", "page", "stamp").orderBy(F.col("error").isNotNull(), F.to_json(F.struct("rows", "footer"))))).where("_n = 1").drop("_n")
     owners = before.groupBy("statement").agg(F.min_by(F.struct("stamp"), F.struct("batch", "page")).alias("_old"))
-    firsts = fresh.groupBy("statement").agg(F.min_by(F.struct("stamp"), F.struct("page", "stamp")).alias("_new"))
-    fresh = fresh.join(owners, "statement", "left").join(firsts, "statement").withColumn("owner", F.coalesce("_old", "_new").stamp).drop("_old", "_new")
+    first = F.first(F.struct("stamp")).over(Window.partitionBy("statement").orderBy("page", "stamp"))
+    fresh = fresh.withColumn("_new", first).join(owners, "statement", "left").withColumn("owner", F.coalesce("_old", "_new").stamp).drop("_old", "_new")
+    incoming = f"{folder}/incoming/batch={batch}"
+    fresh.write.mode("overwrite").parquet(incoming)  # the batch is worked out once, not for each table
+    fresh = spark.read.schema(fresh.schema).parquet(incoming)
     own = F.col("stamp").eqNullSafe(F.col("owner"))
     fresh.where(~own).select("statement", "page", "stamp", "owner").write.mode("overwrite").parquet(f"{folder}/refused/batch={batch}")
     read = before.where("error IS NULL").select("statement", "page")

@@ -130,3 +130,16 @@ def test_failed_pages_break_only_what_follows_and_other_readers_are_refused(spar
 def test_nothing_to_take_in(spark, tmp_path):
     intake.take(spark.createDataFrame([], intake.PAGES), 0, f"{tmp_path}/none")
     assert as_it_stands(spark, f"{tmp_path}/none") == []
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    one = spark.createDataFrame([(1, p, None, None, [("2024-01-01", "a", "1", str(p), None)], "r", None) for p in (1, 2, 3)], intake.PAGES)
+    intake.take(one.mapInPandas(counted, one.schema), 0, f"{tmp_path}/once")
+    assert made.value == 3 and intake.current(spark, f"{tmp_path}/once").count() == 3
