@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars, texts
 from ledgerloom.operators import audits, evidence, tools
 from ledgerloom.plans.registry import chained, moved, query, reconciled, with_base
-from ledgerloom.sources import statements
+from ledgerloom.sources import shared, statements
 
 _MONEY = "DECIMAL(18,2)"
 
@@ -30,7 +31,10 @@ def movement_filter(spark, d):
 
 @query(with_base("SELECT statement, seq FROM mv WHERE derived = 1250.00 OR derived = (SELECT max(derived) FROM mv)"))
 def amount_filter(spark, d):
-    rows = moved(spark, d)
+    """The chain is derived once: rows that hold their statement's largest amount, or the one asked for, are kept, and both answers come from these."""
+    rows = moved(spark, d).withColumn("_most", F.max("derived").over(Window.partitionBy("statement")))
+    wanted = (F.col("derived") == F.col("_most")) | (F.col("derived") == texts.amount_argument(F.lit("1,250")))
+    rows = shared.kept(rows.where(wanted).select("statement", "seq", "derived"))
     top = rows.agg(F.max("derived").alias("derived"))  # one row
     most = rows.join(F.broadcast(top), "derived").select("statement", "seq")
     return tools.select(rows, amount="1,250").select("statement", "seq").unionByName(most).distinct()

@@ -60,23 +60,23 @@ def statement_rows(ev: DataFrame) -> DataFrame:
     pages, unread balances and movements, movements a hundred times too large or one too high, missing and impossible
     dates, labels in the wrong column. Some pages begin with the balance of the page before.
     """
-    e, rows = F.col("event_id"), true_movements(ev)
+    first = (F.col("row_no") == 1) & (F.col("page") % 4 == 2)
+    rows = true_movements(ev).withColumn("_own", F.explode(F.when(first, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    e, own = F.col("event_id"), F.col("_own")
     cents = F.when(e % 29 == 3, None).when(e % 31 == 7, F.col("cents") * 100).when(e % 37 == 11, F.col("cents") + 100).otherwise(F.col("cents"))
+    signed = F.when(F.col("credit"), F.col("cents")).otherwise(-F.col("cents"))
     side = F.when(F.col("credit"), "credit").otherwise("debit")
     other = F.when(F.col("credit"), "debit").otherwise("credit")
-    seen = rows.select(
-        "statement", "page", "row_no", "event_id",
-        F.when(e % 19 == 4, None).when(e % 41 == 6, "2024-02-30").otherwise(F.date_format("day", "yyyy-MM-dd")).alias("date"),
-        F.concat_ws(" ", "label", e.cast("string")).alias("description"),
-        money(cents).alias("movement"),
-        F.when(e % 23 == 5, None).otherwise(money(F.col("balance_cents"))).alias("balance"),
-        F.when(e % 11 == 2, other).when(e % 3 == 0, None).otherwise(side).alias("printed_side"),
+    seen = rows.where(~dropped(F.col("page"), F.col("statement"))).select(
+        "statement", "page", F.when(own, F.col("row_no")).otherwise(0).alias("row_no"), F.when(own, e).alias("event_id"),
+        F.when(own, F.when(e % 19 == 4, None).when(e % 41 == 6, "2024-02-30").otherwise(F.date_format("day", "yyyy-MM-dd"))).alias("date"),
+        F.when(own, F.concat_ws(" ", "label", e.cast("string"))).otherwise(BROUGHT).alias("description"),
+        F.when(own, money(cents)).alias("movement"),
+        F.when(~own, money(F.col("balance_cents") - signed)).when(e % 23 == 5, None).otherwise(money(F.col("balance_cents"))).alias("balance"),
+        F.when(own, F.when(e % 11 == 2, other).when(e % 3 == 0, None).otherwise(side)).alias("printed_side"),
     )
-    brought = rows.where((F.col("row_no") == 1) & (F.col("page") % 4 == 2))
-    signed = F.when(F.col("credit"), F.col("cents")).otherwise(-F.col("cents"))
-    brought = brought.select("statement", "page", F.lit(0).alias("row_no"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("date"), F.lit(BROUGHT).alias("description"), F.lit(None).cast(MONEY).alias("movement"), money(F.col("balance_cents") - signed).alias("balance"), F.lit(None).cast("string").alias("printed_side"))
     order = Window.partitionBy("statement").orderBy("page", "row_no")
-    return seen.unionByName(brought).where(~dropped(F.col("page"), F.col("statement"))).withColumn("seq", F.row_number().over(order))
+    return seen.withColumn("seq", F.row_number().over(order))
 
 
 def statement_footers(ev: DataFrame) -> DataFrame:

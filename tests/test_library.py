@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import scalars as s
 from ledgerloom.functions import texts
 from ledgerloom.operators import audits, chain, footers, ledger, search, tools
+from ledgerloom.plans import evidence
 from ledgerloom.sources import readers, statements
 from ledgerloom.streaming import pages
 
@@ -200,3 +201,23 @@ def test_tasks_of_statements_stay_small_as_events_grow(spark):
         rows = statements.true_movements(ev(n)).select("statement").withColumn("task", F.spark_partition_id())
         assert rows.groupBy("task").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= 2 * -(-n // tasks)
         assert rows.groupBy("statement").agg(F.count_distinct("task").alias("k")).agg(F.max("k")).first()[0] == 1
+
+
+def test_statement_rows_work_out_movements_once(spark):
+    ev = spark.range(2000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'click' AS event_type", "1.0D AS value")
+    rows = statements.statement_rows(ev)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1  # read and sorted once for rows and balances brought forward
+    brought = rows.where("event_id IS NULL")
+    assert brought.select("row_no", "date", "description", "movement", "printed_side").distinct().collect() == [(0, None, statements.BROUGHT, None, None)]
+    want = {(u, p) for u in range(9) for p in range(2, 24, 4) if (u + p) % 17 != 3 and p <= -(-len(range(u, 2000, 9)) // 10)}
+    assert {tuple(r) for r in brought.select("statement", "page").collect()} == want and brought.count() == len(want)
+
+
+def test_amount_filter_derives_the_chain_once(spark, tmp_path):
+    folder = str(tmp_path)
+    # two users' largest movements are equal, two rows of the other are 1250, of which neither is its statement's largest
+    moves = [(0, 1, 5.0), (1, 1, 9000.0), (2, 1, 9000.0), (8, 2, 3.0), (9, 2, 9000.0), (10, 3, 2.0), (12, 3, 1250.0), (13, 3, 1250.0), (14, 3, 1500.0)]
+    spark.createDataFrame(moves, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp_seconds(event_id) AS ts", "user_id", "'click' AS event_type", "value").write.parquet(f"{folder}/events.parquet")
+    got = evidence.amount_filter(spark, folder)
+    assert "events.parquet" not in "".join(got.inputFiles())
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3), (2, 2), (3, 2), (3, 3)]
