@@ -47,7 +47,8 @@ def link_orphans(bands: DataFrame, ordered: DataFrame) -> DataFrame:
     (a sheet between is missing, so the row isn't here) or missing (no page before, or none with rows).
     """
     order = Window.partitionBy("statement").orderBy("place")
-    rows = bands.join(ordered.select("statement", "pos", "place", "relation"), ["statement", "pos"])
+    both = bands.select("statement", "pos", "kind", "bands", "orphan_top").unionByName(ordered.select("statement", "pos", "place", "relation"), allowMissingColumns=True).where("statement IS NOT NULL AND pos IS NOT NULL")
+    rows = both.groupBy("statement", "pos").agg(*[F.max(c).alias(c) for c in ("kind", "bands", "orphan_top", "place", "relation")]).where("kind IS NOT NULL AND place IS NOT NULL")  # each has one row at most; a join would move both
     rows = rows.withColumns({"_pos": F.lag("pos").over(order), "_kind": F.lag("kind").over(order), "_bands": F.lag("bands").over(order)})
     here = F.coalesce(F.col("_kind").isin("transactions", "first"), F.lit(False))
     owner = F.when(~here, "missing").when(F.col("relation") == "gap", "gap").when(F.col("relation") == "adjacent", "confirmed").otherwise("unconfirmed")

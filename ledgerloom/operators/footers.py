@@ -12,10 +12,15 @@ MONEY = "decimal(18,2)"
 PARTS = ("debits", "credits", "balance")
 
 
+def of_side(side: str) -> Column:
+    """What a derived row moves on this side; null for opening rows and the other side."""
+    return F.when(~F.col("opening") & (F.col("side") == side), F.col("derived"))
+
+
 def page_totals(chained: DataFrame, **more: Column) -> DataFrame:
     """statement, page, own_debits, own_credits, own_balance (last), undecided: from the rows alone; ``more`` is aggregated with them."""
     b, moved = F.col("balance"), ~F.col("opening")
-    side = lambda s: F.coalesce(F.sum(F.when(moved & (F.col("side") == s), F.col("derived"))), F.lit(0)).cast(MONEY)
+    side = lambda s: F.coalesce(F.sum(of_side(s)), F.lit(0)).cast(MONEY)
     return chained.groupBy("statement", "page").agg(side("debit").alias("own_debits"), side("credit").alias("own_credits"), F.max_by("balance", F.when(b.isNotNull(), F.col("seq"))).alias("own_balance"), F.count_if(moved & (F.col("side") == "") & F.col("derived").isNotNull()).alias("undecided"), *[c.alias(n) for n, c in more.items()])
 
 

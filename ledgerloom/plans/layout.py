@@ -27,9 +27,9 @@ def scanned(spark, d):
     pos = F.when((s % 4 == 3) & (p == 6), 15).otherwise(pos).cast("int")
     ev = statements.events(spark, d)
     misread = (s % 6 == 5) & (p == 4) & F.col("credits").isNotNull()
-    pages = statements.statement_footers(ev).select("statement", "page", pos.alias("pos"), "debits", F.when(misread, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.col("credits")).alias("credits"), F.when((s + p) % 3 != 0, p).alias("number"))
-    twice = lambda df: df.unionByName(df.where("statement % 9 = 4 AND page = 3").withColumn("pos", F.lit(1005)))
-    return twice(pages), twice(statements.statement_rows(ev).withColumn("pos", pos))
+    twice = lambda df, pos: df.withColumn("pos", F.explode(F.when((s % 9 == 4) & (p == 3), F.array(pos, F.lit(1005))).otherwise(F.array(pos))))
+    read = statements.statement_footers(ev).withColumns({"credits": F.when(misread, F.lit("0.01").cast("decimal(18,2)")).otherwise(F.col("credits")), "number": F.when((s + p) % 3 != 0, p)})
+    return twice(read, pos).select("statement", "page", "pos", "debits", "credits", "number"), twice(statements.statement_rows(ev), pos)
 
 
 def renamed(sql: str, names: dict[str, str]) -> str:

@@ -73,6 +73,16 @@ def test_fewest_moved_by_blocks_equals_one_long_run(spark):
     assert {(x.statement, x.file_place): x.moved for x in got} == want
 
 
+def test_sums_of_rows_in_both_orders(spark):
+    ordered = spark.createDataFrame([(1, 1, 2, 1, D(5), "a"), (1, 2, 1, 2, None, "b"), (1, 3, 3, 3, D(7), None), (1, None, 4, 4, None, "c"), (1, None, 5, 5, D(8), "d")], "statement long, pos int, place int, file_place int, debits decimal(18,2), said string")
+    rows = spark.createDataFrame([(1, 1, 1, "x", D(10), D(90)), (1, 2, 1, "x", D(10), D(80)), (1, 9, 1, "x", D(10), D(70)), (1, None, 1, "x", D(1), D(60))], ROW)
+    got = {r.place: r for r in order.own_sums(rows, ordered, {"place": "own", "file_place": "file"}).collect()}
+    assert [(got[p].pos, got[p].file_place, got[p].debits, got[p].said) for p in range(1, 6)] == [(2, 2, None, "b"), (1, 1, D(5), "a"), (3, 3, D(7), None), (None, 4, None, "c"), (None, 5, D(8), "d")]
+    sums = lambda name: [(got[p][f"{name}_debits"], got[p][f"{name}_credits"]) for p in range(1, 6)]
+    assert sums("own") == [(0, 0), (0, 10), (None, None), (None, None), (None, None)]  # page at pos 1 follows a balance of 80
+    assert sums("file") == [(10, 0), (0, 0), (None, None), (None, None), (None, None)]
+
+
 def test_empty_order(spark):
     decided, pages = order.decide_order(spark.createDataFrame([], PAGE), spark.createDataFrame([], ROW))
     assert decided.count() == pages.count() == 0

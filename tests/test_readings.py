@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import bands, patterns, ranges, shift
+from ledgerloom.plans import layout, readings
 from ledgerloom.sources import snapshot
 
 
@@ -50,6 +51,16 @@ def test_owners_of_orphans(spark):
     assert got == {1: (None, None, "missing"), 5: (1, 2, "confirmed"), 2: (None, None, "gap"), 3: (2, 4, "unconfirmed"), 4: (None, None, "missing")}
 
 
+def test_orphans_and_orders_work_out_movements_a_few_times_and_stay_in_their_task(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(500).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 9 AS user_id", "'click' AS event_type", "1.0D AS value").write.parquet(f"{folder}/events.parquet")
+    for query, times in ((readings.orphan_owners, 3), (layout.page_order, 2), (layout.page_order_decision, 2)):
+        plan = query(spark, folder)._jdf.queryExecution()
+        assert plan.optimizedPlan().toString().count("RepartitionByExpression") == times
+        assert plan.sparkPlan().toString().count("Join") == 0 and "Python" not in plan.sparkPlan().toString()
+        assert plan.executedPlan().toString().count("Exchange") == times  # the events' own, which is one and the same
+
+
 def test_slipped_rows_by_counters(spark):
     r, vocab = random.Random(2), ["card", "fee", "to", "اسم", "Shop", "x", "12", "إلى"]
     fold = str.maketrans("آأؤإئةىٱ", "ااوايهيا")
