@@ -120,6 +120,33 @@ def test_questions_of_one_pattern_are_dealt_out_behind_all_shuffles(spark):
     assert got == sorted(map(repr, patterns.citable(patterns.rows_with_patterns(asked, rows), chain).collect())) and len(got) == 12 * 500 + 2
 
 
+def test_rows_of_a_frequent_pattern_are_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(n, f"fee {n} fee {n}") for n in range(400)], "k int, text string")
+    asked = spark.createDataFrame([(q, "fee") for q in range(600)] + [(600, "fee 7"), (None, "fee"), (601, "")], "question int, pattern string")
+    lists = patterns.by_pattern(asked)
+    assert sorted(len(r.asking) for r in lists.where("pattern = 'fee 7'").collect()) == [1] and lists.count() <= 1 + -(-601 // patterns.LENGTH)
+    hits = patterns.hits_of(lists, rows).where("pattern = 'fee'")
+    tasks = Counter(r.task for r in hits.select(F.spark_partition_id().alias("task")).collect())
+    assert len(tasks) > 1 and max(tasks.values()) < 0.7 * sum(tasks.values())
+    got = Counter((r.question, r.pattern, r.k) for r in patterns.rows_with_patterns(asked, rows).collect())
+    assert got == Counter([(q, "fee", n) for q in [*range(600), None] for n in range(400)] + [(600, "fee 7", n) for n in range(400) if str(n).startswith("7")])
+    assert patterns.rows_with_patterns(asked.where("pattern = ''"), rows).count() == 0
+
+
+def test_pages_read_once_stand_as_rows_beside_their_chain(spark):
+    r = random.Random(6)
+    data = [(s, 1 + k // 7, k, D(k) if r.random() < 0.7 else None, f"fee {s} {k}") for s in range(9) for k in range(30)]
+    read = spark.createDataFrame(data, "statement long, page int, seq int, balance decimal(18,2), text string")
+    at = Counter()
+    rows = []
+    for s, p, _, b, t in data:
+        at[s, p] += 1
+        rows.append((s, p, at[s, p], b, t))
+    chain = read.where("balance IS NOT NULL").select("statement", "page", "seq", "text")
+    two = patterns.standing(spark.createDataFrame(rows, "statement long, page int, n int, balance decimal(18,2), text string"), chain)
+    assert sorted(map(repr, two.collect())) == sorted(map(repr, patterns.standing_read(read).select(*two.columns).collect()))
+
+
 def test_absence_from_hits_of_patterns_alone(spark):
     rows = spark.createDataFrame([("a fee",), ("two fees",), (None,)], "text string")
     asked = spark.createDataFrame([(q, "fee") for q in range(40)] + [(40, "two"), (41, "three"), (42, ""), (43, None), (40, "two")], "question int, pattern string")
